@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from threadloom.shipping import ship
 
-from . import toxicity
+from . import line_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_passages(documents, model)
 
 
-QUERIES = {"op9_toxicity": op9_toxicity}
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
 
-ORACLE_SQL: dict[str, str] = {}
+
+QUERIES = {"op3_line_dedup": op3_line_dedup, "op9_toxicity": op9_toxicity}
+
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": line_dedup.DEDUP_SQL}
