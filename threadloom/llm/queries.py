@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from threadloom.shipping import ship
 
-from . import line_dedup, toxicity
+from . import line_dedup, ngram_join, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,17 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_line_dedup": op3_line_dedup, "op9_toxicity": op9_toxicity}
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_pairs(_table(spark, sf_dir, "documents"))
 
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": line_dedup.DEDUP_SQL}
+
+QUERIES = {
+    "op3_line_dedup": op3_line_dedup,
+    "op7_ngram_join": op7_ngram_join,
+    "op9_toxicity": op9_toxicity,
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": line_dedup.DEDUP_SQL,
+    "op7_ngram_join": ngram_join.PAIRS_SQL,
+}

@@ -1,40 +1,13 @@
-"""Shared-folder tables, row identity and broadcast checks used by every operator here."""
+"""What every operator here starts from."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_UNSET = "spark.threadloom.unset"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or where that is unset a
-    temporary one, which is only right in local mode and refused on a cluster."""
-    where = spark.conf.get("spark.checkpoint.dir", _UNSET)
-    if where in (None, "", _UNSET):
-        where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="threadloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
+from threadloom.storage import discard, fresh_dir, materialise, shared_dir
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, and what was
-    written outlives any executor."""
-    where = fresh_dir(df.sparkSession, name)
-    df.write.parquet(where)
-    return df.sparkSession.read.schema(df.schema).parquet(where)
+__all__ = ["discard", "fresh_dir", "materialise", "shared_dir", "id_as_long", "narrow"]
 
 
 def id_as_long(df: DataFrame, column: str) -> Column:
