@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from threadloom.shipping import ship
 
-from . import line_dedup, ngram_join, toxicity
+from . import decontaminate, line_dedup, ngram_join, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,12 +23,17 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_pairs(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op3_line_dedup": op3_line_dedup,
+    "op4_decontamination": op4_decontamination,
     "op7_ngram_join": op7_ngram_join,
     "op9_toxicity": op9_toxicity,
 }
