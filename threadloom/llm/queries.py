@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from threadloom.shipping import ship
 
-from . import decontaminate, line_dedup, ngram_join, toxicity
+from . import decontaminate, line_dedup, ngram_join, packing, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     model = toxicity.fit(documents, _table(spark, sf_dir, "labels"))
@@ -35,6 +39,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_decontamination": op4_decontamination,
     "op7_ngram_join": op7_ngram_join,
+    "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
 }
 
