@@ -22,35 +22,66 @@ whose every line is deleted keeps its row, with text ``''``.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from .runtime import materialise, narrow
 
 _BEFORE, _AFTER = (1 << 63) - 1, (1 << 63) - 2  # above any line hash, so never a fingerprint
-_BLANKS = r"' \t\r\f\u000b'"
+_BLANKS = b" \t\r\f\x0b"
+_BLANKS_SQL = r"' \t\r\f\u000b'"
 
 
 def _windows(docs: DataFrame, window: int) -> DataFrame:
     """(doc_id, th, fp, new, h, at): hashes and line numbers of each window, its fingerprint,
     and whether it is the first window that this position was chosen in."""
-    lines = f"filter(transform(split(text, '\\n'), (x, i) -> named_struct('t', btrim(x, {_BLANKS}), 'i', i)), x -> x.t <> '')"
-    marked = (
-        f"concat(array(named_struct('h', {_BEFORE}L, 'i', -1)), transform(lines, x -> named_struct('h', xxhash64(x.t), 'i', x.i)),"
-        f" array(named_struct('h', {_AFTER}L, 'i', -1)))"
-    )
-    w = f"least({window}, size(seq))"
-    cut = f"transform(sequence(0, size(seq) - {w}), p -> named_struct('p', p, 'w', slice(seq, p + 1, {w})))"
-    chosen = "transform(wins, x -> named_struct('h', x.w.h, 'at', x.w.i, 'fp', array_min(x.w.h), 'pos', x.p - array_position(reverse(x.w.h), array_min(x.w.h))))"
-    return (
-        docs.selectExpr("doc_id", "xxhash64(text) AS th", f"{lines} AS lines")
-        .filter("size(lines) > 0")
-        .selectExpr("doc_id", "th", f"{marked} AS seq")
-        .selectExpr("doc_id", "th", f"{cut} AS wins")
-        .selectExpr("doc_id", "th", f"{chosen} AS chosen")
-        .selectExpr("doc_id", "th", "chosen", "posexplode(chosen) AS (p, c)")
-        .selectExpr("doc_id", "th", "c.fp AS fp", "p = 0 OR chosen[p - 1].pos <> c.pos AS new", "c.h AS h", "c.at AS at")
-    )
+
+    def run(batches):
+        for batch in batches:
+            hashes, numbers, size = [], [], []
+            for text in batch.column("text"):
+                n = len(hashes)
+                for i, line in enumerate(text.as_py().encode().split(b"\n")):
+                    line = line.strip(_BLANKS)
+                    if line:
+                        hashes.append(xxh64_intdigest(line) >> 1)
+                        numbers.append(i)
+                size.append(len(hashes) - n)
+            size = np.array(size, np.int64)
+            full = np.flatnonzero(size)
+            if not len(full):
+                continue
+            size = size[full]
+            marked = np.maximum(size + 2, window)
+            off = np.cumsum(marked) - marked
+            h, at = np.full(marked.sum(), _AFTER, np.int64), np.full(marked.sum(), -1, np.int32)
+            h[off] = _BEFORE
+            place = np.repeat(off + 1 - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            h[place], at[place] = hashes, numbers
+            count = marked - window + 1
+            doc = np.repeat(np.arange(len(full)), count)
+            first = np.repeat(off - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            wins = sliding_window_view(h, window)[first]
+            pos = first + window - 1 - np.argmin(wins[:, ::-1], axis=1)
+            lists = pa.array(np.arange(0, wins.size + 1, window, dtype=np.int32))
+            row = pa.array(full[doc])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").take(row),
+                    batch.column("th").take(row),
+                    pa.array(wins.min(axis=1)),
+                    pa.array(np.diff(pos, prepend=-1) != 0),
+                    pa.ListArray.from_arrays(lists, pa.array(wins.ravel())),
+                    pa.ListArray.from_arrays(lists, pa.array(sliding_window_view(at, window)[first].ravel())),
+                ],
+                names=["doc_id", "th", "fp", "new", "h", "at"],
+            )
+
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id bigint, th bigint, fp bigint, new boolean, h array<bigint>, at array<int>")
 
 
 def repeated_lines(documents: DataFrame, window: int = 2) -> DataFrame:
@@ -74,7 +105,7 @@ def dedup_lines(documents: DataFrame, window: int = 2) -> DataFrame:
     joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("th") == F.col("g_th")), "left")
     return joined.selectExpr(
         "doc_id",
-        f"coalesce(size(filter(split(text, '\\n'), x -> btrim(x, {_BLANKS}) <> '')), 0) AS n_lines",
+        f"coalesce(size(filter(split(text, '\\n'), x -> btrim(x, {_BLANKS_SQL}) <> '')), 0) AS n_lines",
         "coalesce(size(gone), 0) AS n_removed",
         "CASE WHEN gone IS NULL THEN text ELSE array_join(filter(split(text, '\\n'), (x, i) -> NOT array_contains(gone, i)), '\\n') END AS text",
     )
@@ -87,7 +118,7 @@ def without_repeats(documents: DataFrame, window: int = 2) -> DataFrame:
     gone = repeated_lines(documents, window).select(F.struct("doc_id", "th", "gone").alias("__gone"))
     kept = documents.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone.doc_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__gone.th")), "left")
     text = "CASE WHEN __gone IS NULL THEN text ELSE array_join(filter(split(text, '\\n'), (x, i) -> NOT array_contains(__gone.gone, i)), '\\n') END"
-    return kept.withColumn("text", F.expr(text)).filter(F.col("__gone").isNull() | F.expr(f"btrim(text, {_BLANKS.replace(' ', ' \\n', 1)}) <> ''")).select(*[F.col(f"`{c}`") for c in names])
+    return kept.withColumn("text", F.expr(text)).filter(F.col("__gone").isNull() | F.expr(f"btrim(text, {_BLANKS_SQL.replace(' ', ' \\n', 1)}) <> ''")).select(*[F.col(f"`{c}`") for c in names])
 
 
 DEDUP_SQL = """

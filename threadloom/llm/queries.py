@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from threadloom.shipping import ship
 
-from . import decontaminate, line_dedup, ngram_join, packing, toxicity
+from . import decontaminate, line_dedup, ngram_join, packing, token_store, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.write_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_pairs(_table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_decontamination": op4_decontamination,
+    "op5_token_files": op5_token_files,
     "op7_ngram_join": op7_ngram_join,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
