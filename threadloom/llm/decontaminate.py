@@ -12,8 +12,9 @@ terms, plus what the items of that block can get from common terms (in more than
 items). Only blocks that can reach the threshold are searched, item by item, by block-max
 WAND, which retrieves all items at or above it. Both steps are exact.
 
-*Verification.* Retrieved items must have ``question`` of their question's 3-grams and
-``answer`` of their answer's distinct words in the passage. The answer is the last sentence,
+*Verification.* Retrieved items must have ``question`` of their question's 3-grams (of a
+question of one or two words: these in a row) and ``answer`` of their answer's distinct words
+in the passage; a part without a word asks for nothing. The answer is the last sentence,
 or of an item of one sentence the last quarter of its words.
 
 An index larger than ``max_items`` is cut into several that are searched one after the other,
@@ -74,7 +75,8 @@ class BlockMaxIndex:
             common_part[o] = w[d > max(1, n_items / 8)].sum()
             question, answer = split_item(text)
             q, a = tokens([question]), tokens([answer])
-            self.parts.append((np.unique(gram_hashes(q, 3)[0]), np.unique(a.hash)))
+            k = min(3, max(1, len(q.hash)))  # a shorter question is one gram of all its words
+            self.parts.append((k, np.unique(gram_hashes(q, k)[0]), np.unique(a.hash)))
         self.terms = np.array(sorted(rows), np.uint64)
         self.n_blocks = -(-len(counted) // width)
         self.rest = np.array([common_part[k * width : (k + 1) * width].max() for k in range(self.n_blocks)])
@@ -147,6 +149,11 @@ class BlockMaxIndex:
         return found
 
 
+def _share(wanted: np.ndarray, there: np.ndarray) -> float:
+    """The part of ``wanted`` that is there; 1 if nothing is wanted."""
+    return float(np.isin(wanted, there).mean()) if len(wanted) else 1.0
+
+
 def leaks_in(index: BlockMaxIndex, t: Tokens, threshold: float, question: float, answer: float) -> Iterator[tuple[int, int, int, int, float, float, float]]:
     """(text, item, first word, word after the last, score, overlaps) of each item found in
     each text, at its best passage, the earliest of equals."""
@@ -177,9 +184,9 @@ def leaks_in(index: BlockMaxIndex, t: Tokens, threshold: float, question: float,
         e = min(int(length[i]), s + 2 * stride)
         h = t.hash[t.off[i] + s : t.off[i] + e]
         for o, score in index.search(index.hits(np.unique(h))[1].tolist(), threshold, set(blocks[a:z].tolist())):
-            grams, words = index.parts[o]
-            own = gram_hashes(Tokens(h, np.array([0, len(h)]), h, h, h, h), 3)[0]
-            q, r = float(np.isin(grams, own).mean()), float(np.isin(words, h).mean())
+            k, grams, words = index.parts[o]
+            own = gram_hashes(Tokens(h, np.array([0, len(h)]), h, h, h, h), k)[0]
+            q, r = _share(grams, own), _share(words, h)
             if q >= question and r >= answer and ((i, o) not in best or score > best[i, o][4] + _EPS):
                 best[i, o] = (i, o, s, e, score, q, r)
     yield from (best[k] for k in sorted(best))
