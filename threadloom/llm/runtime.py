@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.shipping import ship
 from threadloom.storage import discard, fresh_dir, materialise, shared_dir
 
-__all__ = ["discard", "fresh_dir", "materialise", "shared_dir", "id_as_long", "narrow"]
+__all__ = ["discard", "fresh_dir", "materialise", "shared_dir", "ship", "id_as_long", "narrow"]
 
 
 def id_as_long(df: DataFrame, column: str) -> Column:
@@ -21,4 +22,5 @@ def id_as_long(df: DataFrame, column: str) -> Column:
 def narrow(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, as ``doc_id`` and ``text``: whatever other columns the input
     has, and whatever they are called, they cannot clash with an operator's own names."""
+    ship(df.sparkSession)
     return df.select(id_as_long(df, id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
