@@ -1,0 +1 @@
+"""Nothing streams: the workload has no unbounded input; results of outside calls are resumed through tables (operators.enrich)."""
