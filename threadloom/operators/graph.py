@@ -34,7 +34,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     node. Each round is written to the shared folder, so lineage stays short and a lost
     executor costs one round at most; rounds grow with the logarithm of the largest diameter.
     """
-    named = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).dropna()
+    named = materialise(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).dropna(), "edges")  # read twice
     nodes = named.select("u").unionAll(named.select("v")).distinct()
     now = materialise(named.filter("u <> v").distinct(), "components")
     before = None
