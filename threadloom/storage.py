@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -17,8 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not where:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"{_KEY} must name a folder that all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="threadloom-")
-        spark.conf.set(_KEY, where)
+        where = _own.get(spark.sparkContext.applicationId) or "file://" + tempfile.mkdtemp(prefix="threadloom-")
+        _own[spark.sparkContext.applicationId] = where  # the setting itself cannot be changed in a running session
     return where.rstrip("/")
 
 
