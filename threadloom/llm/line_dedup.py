@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .runtime import materialise, narrow
+from .runtime import free_name, materialise, narrow
 
 _BEFORE, _AFTER = (1 << 63) - 1, (1 << 63) - 2  # above any line hash, so never a fingerprint
 _BLANKS = b" \t\r\f\x0b"
@@ -114,11 +114,11 @@ def dedup_lines(documents: DataFrame, window: int = 2) -> DataFrame:
 def without_repeats(documents: DataFrame, window: int = 2) -> DataFrame:
     """``documents`` with the repeated lines out of ``text``, other columns as they were, and
     without the documents of which nothing is left. A document that loses no line stays."""
-    names = documents.columns
-    gone = repeated_lines(documents, window).select(F.struct("doc_id", "th", "gone").alias("__gone"))
-    kept = documents.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone.doc_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__gone.th")), "left")
-    text = "CASE WHEN __gone IS NULL THEN text ELSE array_join(filter(split(text, '\\n'), (x, i) -> NOT array_contains(__gone.gone, i)), '\\n') END"
-    return kept.withColumn("text", F.expr(text)).filter(F.col("__gone").isNull() | F.expr(f"btrim(text, {_BLANKS_SQL.replace(' ', ' \\n', 1)}) <> ''")).select(*[F.col(f"`{c}`") for c in names])
+    names, x = documents.columns, free_name(documents, "__gone")
+    gone = repeated_lines(documents, window).select(F.struct("doc_id", "th", "gone").alias(x))
+    kept = documents.join(gone, F.col("doc_id").eqNullSafe(F.col(f"{x}.doc_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col(f"{x}.th")), "left")
+    text = f"CASE WHEN {x} IS NULL THEN text ELSE array_join(filter(split(text, '\\n'), (line, i) -> NOT array_contains({x}.gone, i)), '\\n') END"
+    return kept.withColumn("text", F.expr(text)).filter(F.col(x).isNull() | F.expr(f"btrim(text, {_BLANKS_SQL.replace(' ', ' \\n', 1)}) <> ''")).select(*[F.col(f"`{c}`") for c in names])
 
 
 DEDUP_SQL = """

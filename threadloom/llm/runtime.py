@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.shipping import ship
 from threadloom.storage import discard, fresh_dir, materialise, shared_dir
 
-__all__ = ["discard", "fresh_dir", "materialise", "shared_dir", "ship", "id_as_long", "narrow"]
+__all__ = ["discard", "free_name", "fresh_dir", "materialise", "shared_dir", "ship", "id_as_long", "narrow"]
 
 
 def id_as_long(df: DataFrame, column: str) -> Column:
@@ -24,3 +24,11 @@ def narrow(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     has, and whatever they are called, they cannot clash with an operator's own names."""
     ship(df.sparkSession)
     return df.select(id_as_long(df, id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as no column of ``df`` has, in either case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
