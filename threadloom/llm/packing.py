@@ -11,7 +11,8 @@ with cut(j) = ``split`` inside a document and 0 at its end. In the first line th
 move up with j, so a monotone queue of f(i) + padding * S_i gives the minimum; in the second
 they only grow, so a running minimum of f(i) - truncation * S_i does. That makes each
 transition constant time on average. Only the tokens that a window cannot hold are lost, and
-they are reported. Of equal choices the earliest cut is taken.
+they are reported: at the end of a shard that can be a few short documents, where padding a
+window for them would cost more than losing them. Of equal choices the earliest cut is taken.
 
 Shards are runs of ``shard`` consecutive ids, so they depend on the ids alone and not on how
 the table is partitioned; a shard costs at most one window of padding. Null doc_ids are a
