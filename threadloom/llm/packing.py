@@ -1,7 +1,8 @@
 """Order-preserving packing of documents into training windows by dynamic programming.
 
 Documents are taken in the order (doc_id, text) and cut into BPE-token sequences; a window
-may begin and end at a document boundary or, at a price, between sentences. For a shard of
+may begin and end at a document boundary or, at a price, between sentences (and inside one
+that no window can hold, so that no text is lost for being long). For a shard of
 boundaries S_0 < S_1 < ... (in tokens) the least cost f of a cut at j is
 
     f(j) = cut(j) + min over i < j of f(i) + padding * (C - (S_j - S_i))      if S_j - S_i <= C
@@ -41,15 +42,18 @@ WINDOWS = (
 )
 
 
-def sentence_ends(text: str, path: str) -> np.ndarray:
+def sentence_ends(text: str, path: str, capacity: int) -> np.ndarray:
     """The number of tokens up to the end of each sentence of a text, ascending; the last is
-    the number of all."""
+    the number of all. A sentence longer than a window also ends after each full window."""
     bpe = encoder(path)
     ids = bpe.ids(text)
     ends = np.cumsum(bpe.token_bytes[ids])
     marks = np.array([m.end() for m in _SENTENCE_END.finditer(text.encode())], np.int64)
     bounds = np.union1d(np.searchsorted(ends, marks, "right"), [len(ids)])
-    return bounds[bounds > 0]
+    bounds = bounds[bounds > 0]
+    before = np.concatenate([[0], bounds[:-1]])
+    long = np.flatnonzero(bounds - before > capacity)
+    return np.union1d(bounds, np.concatenate([np.arange(before[i] + capacity, bounds[i], capacity) for i in long])) if len(long) else bounds
 
 
 def best_cuts(bounds: list[int], inside: list[bool], capacity: int, padding: float, truncation: float, split: float) -> tuple[list[int], float]:
@@ -125,7 +129,7 @@ def pack(
 
     def measure(batches):
         for batch in batches:
-            ends = [sentence_ends(x.as_py(), vocabulary).astype("<i4").tobytes() for x in batch.column("text")]
+            ends = [sentence_ends(x.as_py(), vocabulary, capacity).astype("<i4").tobytes() for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("doc_id"), batch.column("th"), pa.array(ends, pa.binary())], names=["shard", "doc_id", "th", "ends"])
 
     keyed = docs.select(F.expr(f"coalesce((doc_id - pmod(doc_id, {int(shard)}L)) div {int(shard)}L, {-(1 << 62)}L)").alias("shard"), "doc_id", F.xxhash64("text").alias("th"), "text")
