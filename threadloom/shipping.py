@@ -10,12 +10,17 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> SparkSession:
     """Send the package to the executors through the driver's file server, once for each
-    application, so that nothing has to be installed on them."""
+    application, so that nothing has to be installed on them. Batches to Python get 4 MB unless
+    the session says otherwise: with 64 MB, each held several times over on either side, long
+    texts fill an executor."""
     context = spark.sparkContext
+    if spark.conf.get(_BATCH, "") == "67108864b":  # as it is where nobody set it
+        spark.conf.set(_BATCH, "4194304b")
     if context.applicationId not in _shipped:
         here = Path(__file__).resolve().parent
         folder = tempfile.mkdtemp(prefix="threadloom-code-")  # on the driver, which serves it
