@@ -479,6 +479,19 @@ def test_every_later_copy_is_reported(spark, odd, empty):
     assert substring_dedup.fuzzy_passages(empty).count() == 0
 
 
+@pytest.mark.parametrize("block", [3, 512])
+def test_every_pair_of_holders_is_reported(spark, block):
+    """Of a passage in A < B < C the pair (B, C) too, and a copy whose seeds occur first elsewhere in one piece."""
+    rng = random.Random(15)
+    p, q = words(rng, 70, 5000), words(rng, 90, 5000)
+    hold = lambda x: " ".join(words(rng, 30, 5000) + x + words(rng, 30, 5000))
+    rows = [(i, hold(p)) for i in range(10)] + [(20, hold(q[:40])), (21, hold(q[40:])), (22, hold(q)), (23, hold(q))]
+    got = substring_dedup.fuzzy_passages(spark.createDataFrame(rows, "doc_id bigint, text string"), block=block).collect()
+    pairs = Counter((r["doc_a"], r["doc_b"]) for r in got)
+    assert pairs == {**{(i, j): 1 for j in range(10) for i in range(j)}, **{(i, j): 1 for i, j in [(20, 22), (20, 23), (21, 22), (21, 23), (22, 23)]}}
+    assert all(r["end_b"] - r["start_b"] >= 85 for r in got if (r["doc_a"], r["doc_b"]) == (22, 23))
+
+
 def test_grams_of_short_texts():
     t = tokens(["a b", "", None, "a b c d"])
     h, off = gram_hashes(t, 3)
