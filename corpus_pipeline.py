@@ -17,9 +17,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the runs of lines that an earlier document has; ``n_chars`` follows the text."""
+    """Documents without the lines that come earlier, whatever their neighbours; ``n_chars`` follows the text."""
     ship(spark)
-    kept = line_dedup.without_repeats(docs)
+    kept = line_dedup.without_repeats(docs, window=1)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 

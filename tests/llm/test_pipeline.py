@@ -38,3 +38,11 @@ def test_planted_rows(spark, tmp_path):
     windows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     left = {s["doc_id"] for r in windows for s in r["segments"]}
     assert left == {i for i in range(200) if i % 4}
+
+
+def test_a_line_between_other_lines_goes(spark):
+    line = " ".join(f"long{i}" for i in range(60))
+    rows = [(1, f"a first\n{line}\na last"), (2, f"b first\n{line}\nb last"), (3, line), (4, f"c first\nc last\n{line}\nc first")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, df, "").collect()}
+    assert left == {1: rows[0][1], 2: "b first\nb last", 4: "c first\nc last"}

@@ -12,6 +12,9 @@ so runs of any length are the unions of neighbouring equal windows. Every window
 first place in the order (doc_id, text hash, line) is deleted. Each distinct line survives
 at its first place.
 
+With a ``window`` of one every line that comes earlier goes, whatever its neighbours; with two,
+as the registered query and its SQL have it, a line goes only if a neighbour repeats with it.
+
 Positions are joined through an aggregate (the first place of a window) and never with each
 other, so a line that a million documents share costs a million rows, not their square.
 
@@ -89,7 +92,7 @@ def repeated_lines(documents: DataFrame, window: int = 2) -> DataFrame:
     if window < 1:
         raise ValueError("window must be at least 1")
     docs = narrow(documents).filter(F.length("text") > 0).select("doc_id", "text")
-    found = materialise(_windows(docs, window), "line-windows")
+    found = materialise(_windows(docs, window).filter(F.col("fp") < _AFTER), "line-windows")  # a mark alone is no line
     repeated = found.groupBy("fp").agg(F.count_if("new").alias("n")).filter("n > 1").select("fp")
     matched = found.join(repeated, "fp", "left_semi").withColumn("place", F.struct("doc_id", "th", F.col("at").alias("k")))
     first = matched.groupBy("h").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first <> last").select("h", "first")
