@@ -394,6 +394,20 @@ def test_toxicity_held_out(spark):
     assert toxicity.drop_toxic(docs, model).count() == docs.count() - len(toxic)
 
 
+def test_every_significant_passage_is_returned(spark):
+    """One significant passage among many chance words of the lexicon, which must not hide it."""
+    h = tokens(["vile"]).hash
+    model = toxicity.ToxicityModel(h, np.array([1.0]), -0.1, 1.0, 0.01)
+    text = " ".join(["vile"] * 10 + (["plain"] * 3300 + ["vile"]) * 20)
+    df = spark.createDataFrame([(1, text), (2, " ".join(["plain"] * 50 + ["vile"]))], "doc_id bigint, text string")
+    got = toxicity.toxic_passages(df, model).collect()
+    assert [(r["doc_id"], r["start_word"], r["end_word"]) for r in got] == [(1, 0, 10)]
+    assert got[0]["e_value"] <= 0.05 and got[0]["p_value"] > 0.01
+    assert [r["doc_id"] for r in toxicity.drop_toxic(df, model).collect()] == [2]
+    assert toxicity._poisson_tail(1001, 3679.0) == 1.0
+    assert toxicity.document_p_value([12.0] + [1.0] * 10, 10**6, model) == toxicity.document_p_value([12.0] + [1.0] * 1000, 10**6, model)
+
+
 def test_toxicity_on_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(4, 1), (5, 0), (None, 1), (6, None)], "doc_id bigint, toxic int")
     for model in (toxicity.fit(odd, labels), toxicity.fit(odd, labels.limit(0)), toxicity.fit(empty, labels)):

@@ -13,8 +13,11 @@
    ``K n exp(-lambda S)`` (Karlin and Altschul): lambda is the root of sum p exp(lambda s) = 1
    over the corpus's frequencies, K matches the segments counted in clean labelled documents
    (plus one). The r best segments of a document are judged together, by the Poisson tail of
-   seeing r of at least the r-th score; the smallest of these r p-values, times the number
-   of them, is the document's.
+   seeing r of at least the r-th score. The document's p-value is the smallest of these, each
+   times r (r + 1): the shares 1 / (r (r + 1)) sum to one however many segments there are, so
+   the length counts once, in the rate.
+4. *Verdict.* A document is toxic if its p-value is small or if one passage alone is
+   significant, so that what surrounds a passage cannot hide it.
 
 Null text or no word: no passage. Null label: not used to fit. Rows with equal doc_id each
 stand for themselves. Without a toxic or a clean label there is no lexicon and no passage.
@@ -95,6 +98,8 @@ def _poisson_tail(r: int, mean: float) -> float:
     if mean > 50 + 10 * r:
         return 1.0
     term = math.exp(-mean + r * math.log(mean) - math.lgamma(r + 1))
+    if not term and mean > r:
+        return 1.0  # r lies so far below the mean that its own share underflows
     total, k = 0.0, r
     while term > total * 1e-15:
         total += term
@@ -105,7 +110,7 @@ def _poisson_tail(r: int, mean: float) -> float:
 
 def document_p_value(scores: list[float], n_words: int, model: ToxicityModel) -> float:
     rate = [model.k * n_words * math.exp(-model.lam * s) for s in sorted(scores, reverse=True)]
-    return min(1.0, len(rate) * min(_poisson_tail(r, e) for r, e in enumerate(rate, 1)))
+    return min(1.0, min(r * (r + 1) * _poisson_tail(r, e) for r, e in enumerate(rate, 1)))
 
 
 def _segments(t: Tokens, model: ToxicityModel) -> Iterator[tuple[int, int, list[tuple[int, int, float]]]]:
@@ -257,9 +262,9 @@ def fit(
 
 
 def toxic_passages(documents: DataFrame, model: ToxicityModel, e_max: float = 0.05, p_max: float = 0.01) -> DataFrame:
-    """One row for each significant passage of each toxic document: a document is toxic if its
-    p-value is at most ``p_max``; its passages are those with an E-value of at most ``e_max``,
-    or its best one if none has."""
+    """One row for each significant passage: all with an E-value of at most ``e_max``, whatever
+    the document's p-value, and of a document with a p-value of at most ``p_max`` and no such
+    passage the best one."""
 
     def scan(batches):
         for batch in batches:
@@ -268,10 +273,8 @@ def toxic_passages(documents: DataFrame, model: ToxicityModel, e_max: float = 0.
             for lo, _, t in token_chunks(batch.column("text")):
                 for i, n, found in _segments(t, model):
                     p = document_p_value([s for _, _, s in found], n, model)
-                    if p > p_max:
-                        continue
                     rated = [(a, b, s, model.k * n * math.exp(-model.lam * s)) for a, b, s in found]
-                    good = [x for x in rated if x[3] <= e_max] or [max(rated, key=lambda x: x[2])]
+                    good = [x for x in rated if x[3] <= e_max] or ([max(rated, key=lambda x: x[2])] if p <= p_max else [])
                     rows += [(ids[lo + i], j, a, b, round(s, 6), e, n, len(good), p) for j, (a, b, s, e) in enumerate(good)]
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.float64()]
             names = [x.split()[0] for x in PASSAGES.split(", ")]
@@ -280,9 +283,9 @@ def toxic_passages(documents: DataFrame, model: ToxicityModel, e_max: float = 0.
     return narrow(documents).mapInArrow(scan, PASSAGES)
 
 
-def drop_toxic(documents: DataFrame, model: ToxicityModel, p_max: float = 0.01) -> DataFrame:
-    """The rows of ``documents``, all columns as they were, whose text is not toxic. One pass,
-    no join: each batch is scored and filtered where it lies."""
+def drop_toxic(documents: DataFrame, model: ToxicityModel, e_max: float = 0.05, p_max: float = 0.01) -> DataFrame:
+    """The rows of ``documents``, all columns as they were, of which ``toxic_passages`` returns
+    none. One pass, no join: each batch is scored and filtered where it lies."""
     column = documents.columns.index("text")
 
     def keep(batches):
@@ -290,7 +293,8 @@ def drop_toxic(documents: DataFrame, model: ToxicityModel, p_max: float = 0.01)
             ok = np.ones(batch.num_rows, bool)
             for lo, _, t in token_chunks(batch.column(column).cast(pa.large_string())):
                 for i, n, found in _segments(t, model):
-                    ok[lo + i] = document_p_value([s for _, _, s in found], n, model) > p_max
+                    scores = [s for _, _, s in found]
+                    ok[lo + i] = model.k * n * math.exp(-model.lam * max(scores)) > e_max and document_p_value(scores, n, model) > p_max
             yield batch.filter(pa.array(ok))
 
     return documents.mapInArrow(keep, documents.schema)
