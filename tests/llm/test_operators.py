@@ -346,6 +346,23 @@ def test_windows_hold_all_tokens_in_order(spark, docs):
     assert sum(seen.values()) + lost == sum(len(e.ids(r["text"])) for r in docs.collect())
 
 
+def test_windows_do_not_depend_on_ids_and_lose_no_end(spark):
+    rng = random.Random(16)
+    texts = [" ".join(words(rng, rng.randrange(20, 200))) + "." for _ in range(90)]
+    packed = []
+    for gap in (1, 5000):
+        df = spark.createDataFrame([(i * gap, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+        rows = packing.pack(df, capacity=256, shard=40).orderBy("shard", "window").collect()
+        assert {r["shard"] for r in rows} == {0, 1, 2}
+        assert not any({r["shard"]: r["n_truncated"] for r in rows}.values())  # of the last window of each shard
+        packed.append([[(e["doc_id"] // gap, e["first_token"], e["end_token"]) for e in r["segments"]] for r in rows])
+    assert packed[0] == packed[1]
+    lone = spark.createDataFrame([(7, "a b c d. " * 300)], "doc_id bigint, text string")
+    n = len(bpe.encoder(bpe.DEFAULT_VOCABULARY).ids("a b c d. " * 300))
+    rows = packing.pack(lone, capacity=n - 50).collect()
+    assert len(rows) == 2 and sum(r["n_tokens"] for r in rows) == n
+
+
 def test_packing_on_odd_rows(odd, empty):
     rows = packing.pack(odd, truncation=1e6).collect()  # at the usual price the last few tokens of a shard may be cheaper lost than padded
     assert {s["doc_id"] for r in rows for s in r["segments"]} == {None, 3, 4, 5, 6, 7, 8} and not sum(r["n_truncated"] for r in rows)

@@ -12,13 +12,13 @@ with cut(j) = ``split`` inside a document and 0 at its end. In the first line th
 move up with j, so a monotone queue of f(i) + padding * S_i gives the minimum; in the second
 they only grow, so a running minimum of f(i) - truncation * S_i does. That makes each
 transition constant time on average. Only the tokens that a window cannot hold are lost, and
-they are reported: at the end of a shard that can be a few short documents, where padding a
-window for them would cost more than losing them. Of equal choices the earliest cut is taken.
+they are reported. The last window of a shard is padded and never truncated, so the end of a
+shard loses no text. Of equal choices the earliest cut is taken.
 
-Shards are runs of ``shard`` consecutive ids, so they depend on the ids alone and not on how
-the table is partitioned; a shard costs at most one window of padding. Null doc_ids are a
-shard of their own. Null and empty texts take no place and are in no window. Rows that repeat
-an id are packed one after the other.
+Shards are runs of ``shard`` documents by their rank in the order, so they depend neither on
+the ids' spacing nor on how the table is partitioned; a shard costs at most one window of
+padding. Null doc_ids come first. Null and empty texts take no place and are in no window.
+Rows that repeat an id are packed one after the other.
 """
 
 from __future__ import annotations
@@ -31,9 +31,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .bpe import DEFAULT_VOCABULARY, encoder
-from .runtime import narrow
+from .runtime import materialise, narrow
 
 _SENTENCE_END = re.compile(rb"[.!?]+[\"')\]]*(?=\s)|\n+")
 WINDOWS = (
@@ -56,9 +57,9 @@ def sentence_ends(text: str, path: str, capacity: int) -> np.ndarray:
     return np.union1d(bounds, np.concatenate([np.arange(before[i] + capacity, bounds[i], capacity) for i in long])) if len(long) else bounds
 
 
-def best_cuts(bounds: list[int], inside: list[bool], capacity: int, padding: float, truncation: float, split: float) -> tuple[list[int], float]:
+def best_cuts(bounds: list[int], inside: list[bool], capacity: int, padding: float, truncation: float, split: float, whole_end: bool = False) -> tuple[list[int], float]:
     """The boundaries to cut at, and the cost. ``bounds`` ascends from 0; ``inside[j]`` says
-    that j lies within a document."""
+    that j lies within a document; ``whole_end``: the last window is not truncated if it can be so."""
     n = len(bounds)
     f, back = [0.0] * n, [0] * n
     queue: deque[tuple[float, int]] = deque()  # (f(i) + padding * S_i, i), ascending in both
@@ -80,7 +81,7 @@ def best_cuts(bounds: list[int], inside: list[bool], capacity: int, padding: flo
         best, at = float("inf"), -1
         if queue:
             best, at = queue[0][0] + padding * (capacity - s), queue[0][1]
-        if far_i >= 0:
+        if far_i >= 0 and not (whole_end and j == n - 1 and queue):
             c = far + truncation * (s - capacity)
             if c < best or (c == best and far_i < at):
                 best, at = c, far_i
@@ -100,7 +101,7 @@ def pack_shard(docs: list[tuple[int | None, np.ndarray]], capacity: int, padding
         base = bounds[-1]
         bounds += [base + int(x) for x in ends]
         inside += [True] * (len(ends) - 1) + [False]
-    cuts, _ = best_cuts(bounds, inside, capacity, padding, truncation, split)
+    cuts, _ = best_cuts(bounds, inside, capacity, padding, truncation, split, True)
     d = 0
     for a, b in zip(cuts, cuts[1:]):
         lo, hi = bounds[a], bounds[b]
@@ -130,10 +131,10 @@ def pack(
     def measure(batches):
         for batch in batches:
             ends = [sentence_ends(x.as_py(), vocabulary, capacity).astype("<i4").tobytes() for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("doc_id"), batch.column("th"), pa.array(ends, pa.binary())], names=["shard", "doc_id", "th", "ends"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(ends, pa.binary())], names=["doc_id", "th", "ends"])
 
-    keyed = docs.select(F.expr(f"coalesce((doc_id - pmod(doc_id, {int(shard)}L)) div {int(shard)}L, {-(1 << 62)}L)").alias("shard"), "doc_id", F.xxhash64("text").alias("th"), "text")
-    measured = keyed.mapInArrow(measure, "shard bigint, doc_id bigint, th bigint, ends binary")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    measured = _ranked(materialise(keyed.mapInArrow(measure, "doc_id bigint, th bigint, ends binary"), "sentence-ends")).withColumn("shard", F.expr(f"rank div {int(shard)}L"))
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("first_token", pa.int32()), ("end_token", pa.int32())]))
 
     def fill(batches):
@@ -145,7 +146,21 @@ def pack(
                 names=["shard", "window", "n_tokens", "n_padding", "n_truncated", "segments"],
             )
 
-    return measured.repartition("shard").sortWithinPartitions("shard", "doc_id", "th").mapInArrow(fill, WINDOWS)
+    return measured.repartition("shard").sortWithinPartitions("shard", "rank").mapInArrow(fill, WINDOWS)
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    """``rows`` with their ``rank`` from 0 in the order (doc_id, th): ranges of the order are
+    counted, and the sums before each are added to the places within it."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = materialise(rows.repartitionByRange(n, "doc_id", "th").withColumn("part", F.spark_partition_id()), "ranges")
+    counts = {r["part"]: r["count"] for r in ranges.groupBy("part").count().collect()}
+    before, total = [], 0
+    for part in range(n):
+        before.append(total)
+        total += counts.get(part, 0)
+    place = F.row_number().over(Window.partitionBy("part").orderBy("doc_id", "th")) - 1
+    return ranges.withColumn("rank", place + F.array(*map(F.lit, before))[F.col("part")].cast("bigint")).drop("part")
 
 
 def _by_shard(batches) -> Iterator[tuple[int, list[tuple]]]:
