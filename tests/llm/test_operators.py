@@ -256,6 +256,16 @@ def test_flash_and_fade_open_no_shot():
     assert media.shot_starts(np.empty((0, 32))) == []
 
 
+def test_cuts_of_like_chroma_or_low_contrast():
+    ramp = np.tile(np.linspace(0, 160, 64), (64, 1))
+    grey = lambda v: [np.clip(40 + v + ramp, 0, 255).astype(np.uint8)]
+    colour = lambda v: [*grey(v), *(np.full((64, 64), 130, np.uint8) for _ in range(2))]
+    for shot in (grey, colour):
+        for step in (40, 120):
+            h = np.array([media.histogram(shot(v)) for v in [0] * 5 + [step] * 5])
+            assert media.shot_starts(h) == [0, 5]
+
+
 def test_media_on_odd_rows(spark):
     good = video([20, 20, 200, 200])
     rows = [(1, good), (1, good), (2, None), (3, b""), (4, b"RIFFxxxxWAVE"), (5, good[:-120]), (6, good[:700]), (None, good), (7, video([]))]

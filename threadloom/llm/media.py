@@ -7,9 +7,11 @@ the one before it again.
 
 *Shots.* Each frame is decoded and gives a histogram of luma (32 bins) and, in colour, of both
 chroma planes (16 bins each). The difference of neighbours is half the summed absolute
-difference, 0 to 1. A frame opens a shot if its difference reaches ``floor`` and ``factor``
-times the median of the ``radius`` differences on either side, which adapts to motion, and if
-neither it nor its predecessor is a flash: a single frame whose neighbours look alike.
+difference of the plane that differs most, 0 to 1, so that like chroma hides no cut in luma.
+A frame opens a shot if its difference reaches ``factor`` times the median of the ``radius``
+differences on either side, which adapts to motion and to still footage, and at least
+``noise`` (``floor`` if it has no neighbours), and if neither it nor its predecessor is a
+flash: a single frame whose neighbours look alike.
 
 A media row is decoded by one task, frame by frame, so what is held is one file and one
 histogram a frame; rows are spread by the scan.
@@ -111,24 +113,24 @@ def parse_avi(data: bytes) -> Video:
 
 def histogram(planes: list[np.ndarray]) -> np.ndarray:
     parts = [np.bincount(planes[0].ravel() >> 3, minlength=32)] + [np.bincount(p.ravel() >> 4, minlength=16) for p in planes[1:3]]
-    return np.concatenate([x / x.sum() for x in parts]) / len(parts)
+    return np.concatenate([x / x.sum() for x in parts])
 
 
-def shot_starts(h: np.ndarray, floor: float = 0.3, factor: float = 3.0, radius: int = 8) -> list[int]:
+def shot_starts(h: np.ndarray, floor: float = 0.3, factor: float = 3.0, radius: int = 8, noise: float = 0.2) -> list[int]:
     """Frames that open a shot, from one histogram a frame."""
     n = len(h)
     if not n:
         return []
-    apart = lambda i, j: float(np.abs(h[i] - h[j]).sum() / 2)
+    planes = [slice(0, 32), *(slice(x, x + 16) for x in range(32, h.shape[1], 16))]
+    apart = lambda i, j: max(float(np.abs(h[i, p] - h[j, p]).sum() / 2) for p in planes)
     d = [0.0] + [apart(i - 1, i) for i in range(1, n)]
     starts = [0]
     for i in range(1, n):
-        if d[i] < floor:
-            continue
         near = d[max(1, i - radius) : i] + d[i + 1 : i + 1 + radius]
-        if near and d[i] < factor * float(np.median(near)):
+        if d[i] < (max(noise, factor * float(np.median(near))) if near else floor):
             continue
-        if (i + 1 < n and apart(i - 1, i + 1) < floor) or (i >= 2 and apart(i - 2, i) < floor):
+        alike = min(floor, d[i] / 2)
+        if (i + 1 < n and apart(i - 1, i + 1) < alike) or (i >= 2 and apart(i - 2, i) < alike):
             continue
         starts.append(i)
     return starts
@@ -199,7 +201,10 @@ def render(embeddings: DataFrame, size: int = 16) -> DataFrame:
     """(media_id, content): a video of each vector, for want of a table of media. Vector v has
     1 + v % 4 shots of 3 + (v + 2 k) % 4 frames; shot k has the vector as a texture on the
     brightness 48 + 48 ((v + k) % 4), with noise; every fifth has a flash in its first shot;
-    even ones have 10 frames a second, others 25. A null vector has no texture, a null id no row."""
+    even ones have 10 frames a second, others 25. Where v % 7 = 3 the shots are in weak colour, on a
+    ramp of brightness that steps by 24 only, so that neighbours overlap. A null vector has no texture, a null id no row."""
+
+    ramp = np.tile(np.linspace(0, 100, size), (size, 1))
 
     def run(batches):
         for batch in batches:
@@ -211,8 +216,10 @@ def render(embeddings: DataFrame, size: int = 16) -> DataFrame:
                 for k in range(1 + v % 4):
                     for f in range(3 + (v + 2 * k) % 4):
                         flash = v % 5 == 0 and k == 0 and f == 1
-                        level = 250 if flash else 48 + 48 * ((v + k) % 4)
-                        frames.append(jpeg.encode([np.clip(level + texture + rng.normal(0, 1, (size, size)), 0, 255)], 16, tables=v % 3 > 0))
+                        faint = v % 7 == 3
+                        level = 250 if flash else 60 + ramp + 24 * (k % 2) if faint else 48 + 48 * ((v + k) % 4)
+                        planes = [np.clip(level + texture + rng.normal(0, 1, (size, size)), 0, 255)] + [np.full((size, size), c) for c in (124.0, 132.0) if faint]
+                        frames.append(jpeg.encode(planes, 16, tables=v % 3 > 0))
                 made.append(write_avi(frames, size, size, 25 if v % 2 else 10, 1, ("idx1", "opendml", None)[v % 3]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["media_id", "content"])
 
