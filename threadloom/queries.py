@@ -65,6 +65,17 @@ def thread_components_by_list(spark, sf_dir):
     return T.thread_ids(df, scope="list").withColumnRenamed("row", "_row_order")
 
 
+_TWICE = 1_000_000_000_000  # rows of the second list that holds each message
+
+
+@query(f"{SQL_THREADS} SELECT CAST(_row_order AS BIGINT) AS _row_order, CAST(thread AS BIGINT) AS thread FROM thr UNION ALL SELECT {_TWICE} + _row_order, {_TWICE} + thread FROM thr")
+def thread_components_each_list(spark, sf_dir):
+    """All messages, each in a second list too: lists with equal ids stay apart."""
+    df = messages(spark, sf_dir).withColumn("_row_order", F.col("_row_order").cast("bigint"))
+    twice = df.unionAll(df.withColumn("_row_order", F.col("_row_order") + _TWICE).withColumn("list", F.concat("list", F.lit("-copy"))))
+    return T.thread_ids(twice, scope="list").withColumnRenamed("row", "_row_order")
+
+
 @query(f"""{SQL_THREADS} SELECT thread, count(*) AS n_messages, count(DISTINCT c) AS n_conversations FROM thr JOIN m USING (_row_order) GROUP BY thread HAVING count(DISTINCT c) > 1""")
 def thread_components_phantom(spark, sf_dir):
     """Threads that only an id without a message holds together."""
