@@ -24,9 +24,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones: that of the least id."""
+    """One document of each group of similar ones: that of the least id, and of equal rows one."""
     ship(spark)
-    return ngram_join.keep_one_of_each(docs)
+    return ngram_join.keep_one_of_each(ngram_join.one_of_equal_rows(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

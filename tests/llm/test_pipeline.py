@@ -46,3 +46,11 @@ def test_a_line_between_other_lines_goes(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     left = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, df, "").collect()}
     assert left == {1: rows[0][1], 2: "b first\nb last", 4: "c first\nc last"}
+
+
+def test_one_of_rows_loaded_twice_stays(spark):
+    rows = [(i, f"document {i} " + " ".join(f"w{i}x{j}" for j in range(40))) for i in range(5)] + [(None, "a text without an id")]
+    df = spark.createDataFrame(rows + rows + [(9, None), (9, None)], "doc_id bigint, text string")
+    left = corpus_pipeline.drop_near_duplicates(spark, df, "")
+    assert left.columns == df.columns
+    assert sorted(map(str, (tuple(r) for r in left.collect()))) == sorted(map(str, rows + [(9, None), (9, None)]))
