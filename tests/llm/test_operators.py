@@ -490,6 +490,18 @@ def brute_passages(x, y, match=1, other=-2):
     return best
 
 
+def common_words(rows, a, b):
+    """Words of document b that a passage of a source puts beside one of document a."""
+    of = lambda d: [r for r in rows if r["doc_id"] == d]
+    shared = set()
+    for x in of(a):
+        for y in of(b):
+            if x["source_id"] == y["source_id"]:
+                lo, hi = max(x["source_start"], y["source_start"]), min(x["source_end"], y["source_end"])
+                shared |= set(range(y["start_word"] + lo - y["source_start"], y["start_word"] + hi - y["source_start"]))
+    return len(shared)
+
+
 def test_fuzzy_passages_recall(spark):
     rng = random.Random(12)
     passages = [words(rng, 60, 5000) for _ in range(30)]
@@ -503,34 +515,42 @@ def test_fuzzy_passages_recall(spark):
         if brute_passages(rows[i][1].split(), rows[i + 1][1].split()) >= 24:
             hidden.add((i, i + 1))
     got = substring_dedup.fuzzy_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
-    found = {(r["doc_a"], r["doc_b"]) for r in got}
+    across = [r for r in got if r["doc_id"] != r["source_id"]]
+    found = {tuple(sorted((r["doc_id"], r["source_id"]))) for r in across}
     assert found <= hidden and len(found) >= 0.9 * len(hidden) and len(hidden) == 30
-    for r in got:
-        a, b = rows[r["doc_a"]][1].split()[r["start_a"] : r["end_a"]], rows[r["doc_b"]][1].split()[r["start_b"] : r["end_b"]]
+    assert {r["doc_id"] for r in got} == {i for pair in found for i in pair}
+    for r in across:
+        a, b = rows[r["source_id"]][1].split()[r["source_start"] : r["source_end"]], rows[r["doc_id"]][1].split()[r["start_word"] : r["end_word"]]
         assert substring_dedup.edit_distance(np.array([hash(w) for w in a]), np.array([hash(w) for w in b])) <= round((1 - r["identity"]) * max(len(a), len(b))) + 2
 
 
-def test_every_later_copy_is_reported(spark, odd, empty):
+@pytest.mark.parametrize("tile, block, max_span", [(16, 3, 32), (1024, 512, 4096)])
+def test_every_holder_is_linked_to_every_other(spark, odd, empty, tile, block, max_span):
+    """Of a passage in A < B < C the pair (B, C) too, also where its seeds have several sources;
+    whatever the sizes of tiles, blocks and spans."""
     p = " ".join(words(random.Random(13), 70, 5000))
     rng = random.Random(14)
-    df = spark.createDataFrame([(i, " ".join(words(rng, 30, 5000)) + " " + p + " " + " ".join(words(rng, 30, 5000))) for i in range(40)], "doc_id bigint, text string")
-    got = {(r["doc_a"], r["doc_b"]) for r in substring_dedup.fuzzy_passages(df).collect()}
-    assert got >= {(0, i) for i in range(1, 40)} and all(a < b for a, b in got)
-    assert {(r["doc_a"], r["doc_b"]) for r in substring_dedup.fuzzy_passages(odd).collect()} == {(5, 6)}
-    assert substring_dedup.fuzzy_passages(empty).count() == 0
-
-
-@pytest.mark.parametrize("block", [3, 512])
-def test_every_pair_of_holders_is_reported(spark, block):
-    """Of a passage in A < B < C the pair (B, C) too, and a copy whose seeds occur first elsewhere in one piece."""
-    rng = random.Random(15)
-    p, q = words(rng, 70, 5000), words(rng, 90, 5000)
+    rows = [(i, " ".join(words(rng, 30, 5000)) + " " + p + " " + " ".join(words(rng, 30, 5000))) for i in range(40)]
+    q = words(rng, 90, 5000)
     hold = lambda x: " ".join(words(rng, 30, 5000) + x + words(rng, 30, 5000))
-    rows = [(i, hold(p)) for i in range(10)] + [(20, hold(q[:40])), (21, hold(q[40:])), (22, hold(q)), (23, hold(q))]
-    got = substring_dedup.fuzzy_passages(spark.createDataFrame(rows, "doc_id bigint, text string"), block=block).collect()
-    pairs = Counter((r["doc_a"], r["doc_b"]) for r in got)
-    assert pairs == {**{(i, j): 1 for j in range(10) for i in range(j)}, **{(i, j): 1 for i, j in [(20, 22), (20, 23), (21, 22), (21, 23), (22, 23)]}}
-    assert all(r["end_b"] - r["start_b"] >= 85 for r in got if (r["doc_a"], r["doc_b"]) == (22, 23))
+    rows += [(50, hold(q[:40])), (51, hold(q[40:])), (52, hold(q)), (53, hold(q)), (60, hold([]))]
+    got = substring_dedup.fuzzy_passages(spark.createDataFrame(rows, "doc_id bigint, text string"), tile=tile, block=block, max_span=max_span).collect()
+    assert {r["doc_id"] for r in got} == {*range(40), 50, 51, 52, 53}
+    assert all(common_words(got, i, j) >= 70 for i in range(40) for j in range(40))
+    assert common_words(got, 52, 53) >= 85 and common_words(got, 50, 53) >= 38 and common_words(got, 51, 52) >= 48
+    assert not common_words(got, 50, 51) and not common_words(got, 0, 52)
+    assert len(got) <= 44 * 8  # and not the square of the holders
+
+
+def test_copies_and_odd_rows_of_passages(spark, odd, empty):
+    p = " ".join(words(random.Random(16), 60, 5000))
+    rows = [(7, p), (3, p), (3, p), (9, p), (4, "too short to be one"), (5, "too short to be one"), (8, "before it all " + p)]
+    got = pdf(substring_dedup.fuzzy_passages(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    whole = [r for r in got if r[0] != 8 and r[3] != 8]
+    assert {(i, 0, 60, 3, 0, 60, 1.0) for i in (3, 7, 9)} <= set(whole)
+    assert {r[0] for r in got} == {3, 7, 8, 9} and {r[3] for r in got} <= {3, 8}
+    assert {(r["doc_id"], r["source_id"]) for r in substring_dedup.fuzzy_passages(odd).collect()} in ({(5, 5), (6, 5)}, {(6, 6), (5, 6)})
+    assert substring_dedup.fuzzy_passages(empty).count() == 0
 
 
 def test_grams_of_short_texts():
