@@ -311,6 +311,34 @@ def test_similar_pairs_recall(spark, block):
     assert found <= brute and len(found) >= 0.95 * len(brute) and len(brute) > 20
 
 
+def test_similar_documents_equal_brute_force(spark, odd, empty):
+    """Links through copies count, chains of links are one class, and copies cost a row each."""
+    rng = random.Random(8)
+    rows = []
+    for g in range(12):
+        base = words(rng, 60, 4000)
+        for c in range(1 + g % 4):
+            text = " ".join(w if rng.random() > 0.03 else f"z{rng.randrange(9999)}" for w in base)
+            rows += [(1000 - len(rows) - i, text.upper() if i == 1 else text) for i in range(1 + (g + c) % 3)]
+    rows += rows[:5]
+    grams = {i: set(zip(t.lower().split(), t.lower().split()[1:], t.lower().split()[2:])) for i, t in rows}
+    share = {(i, j): len(grams[i] & grams[j]) / len(grams[i] | grams[j]) for i in grams for j in grams if i != j}
+    near = {i: {j for j in grams if i != j and share[i, j] >= 0.5} for i in grams}
+    wanted = {}
+    for i in grams:
+        if near[i]:
+            group, todo = set(), [i]
+            while todo:
+                if (x := todo.pop()) not in group:
+                    group.add(x)
+                    todo += near[x]
+            wanted[i] = (min(group), len(near[i]), max(share[i, j] for j in near[i]))
+    got = {r["doc_id"]: (r["class_id"], r["n_links"], r["max_jaccard"]) for r in ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == wanted and len(got) > 30
+    assert {tuple(r)[:3] for r in ngram_join.similar_documents(odd).collect()} == {(5, 5, 1), (6, 5, 1)}
+    assert ngram_join.similar_documents(empty).count() == 0
+
+
 def test_one_of_each_stays_and_odd_rows(spark, odd, empty):
     base = " ".join(words(random.Random(7), 60))
     df = spark.createDataFrame([(3, base), (1, base + " more"), (2, base.replace(" ", "\n")), (9, "quite another text here"), (1, base + " more")], "doc_id bigint, text string")

@@ -53,7 +53,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar_pairs(_table(spark, sf_dir, "documents"))
+    return ngram_join.similar_documents(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
@@ -73,5 +73,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_chat_formatting": chat.EXAMPLES_SQL,
     "op6_media": media.CLIPS_SQL,
     "op3_line_dedup": line_dedup.DEDUP_SQL,
-    "op7_ngram_join": ngram_join.PAIRS_SQL,
+    "op7_ngram_join": ngram_join.DOCUMENTS_SQL,
 }
