@@ -2,7 +2,8 @@
 
 Every assistant turn becomes an example of its own: all turns before it are the context, and
 only that reply is trained on. A turn is written ``<|role|>``, line break, text, line break;
-``<|`` inside a text becomes ``< |``, so no text can pose as a turn. The characters
+``<|`` inside a text or role becomes ``< |``, and in a role ``|>`` becomes ``| >`` and a line
+break a blank, so nothing inside a turn can pose as another. The characters
 ``train_start`` to ``train_end`` of ``prompt || completion`` are the trainable ones; with
 separate encoding of the two, :func:`token_examples` gives the same in tokens.
 
@@ -10,8 +11,8 @@ The turns of a conversation meet by one shuffle on ``conv_id``; a running window
 each reply its context, so rows stream and spill, and no task holds all examples of a long
 conversation at once.
 
-Defined results: null conv_id or turn: the row has no place and is left out. Null role: shown
-as ``unknown``. Roles are compared trimmed and in lower case. Null text: as empty. An assistant
+Defined results: null conv_id or turn: the row has no place and is left out. Null or blank
+role: shown as ``unknown``. Roles are compared trimmed and in lower case. Null text: as empty. An assistant
 turn without text (nothing but blanks) is no example, but stays in later contexts. Rows that
 repeat (conv_id, turn, role, text) count once. Of turns with one number the assistant's come
 last, then by role and text. A reply without any turn before it has an empty context.
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,12 +32,17 @@ from .runtime import id_as_long
 _CUE = "<|assistant|>\n"
 
 
+def _shown_role(role: Column) -> Column:
+    plain = F.lower(F.trim(F.translate(role, "\n\r\t", "   ")))
+    return F.coalesce(F.nullif(F.replace(F.replace(plain, F.lit("<|"), F.lit("< |")), F.lit("|>"), F.lit("| >")), F.lit("")), F.lit("unknown"))
+
+
 def prefix_examples(conversations: DataFrame) -> DataFrame:
     """(conv_id, turn, n_context, prompt, completion, train_start, train_end)."""
     rows = conversations.select(
         id_as_long(conversations, "conv_id").alias("conv_id"),
         id_as_long(conversations, "turn").alias("turn"),
-        F.coalesce(F.lower(F.trim(F.col("role").cast("string"))), F.lit("unknown")).alias("role"),
+        _shown_role(F.col("role").cast("string")).alias("role"),
         F.replace(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"),
     ).dropna(subset=["conv_id", "turn"])
     # by conv_id first: this also clusters the four columns, so that there is one shuffle
@@ -70,7 +76,7 @@ def token_examples(conversations: DataFrame, vocabulary: str = DEFAULT_VOCABULAR
 
 
 EXAMPLES_SQL = """
-WITH r AS (SELECT DISTINCT conv_id, turn, coalesce(lower(trim(role)), 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
+WITH r AS (SELECT DISTINCT conv_id, turn, coalesce(nullif(replace(replace(lower(trim(translate(role, chr(10) || chr(13) || chr(9), '   '))), '<|', '< |'), '|>', '| >'), ''), 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
            FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 c AS (SELECT *, count(*) OVER w AS n, string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '') OVER w AS context FROM r
       WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role = 'assistant', role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
