@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe import DEFAULT_VOCABULARY, encoded, encoder
-from .runtime import fresh_dir, narrow
+from .runtime import fresh_dir, materialise, narrow
 
 ROWS = "doc_id bigint, shard int, position bigint, token_start bigint, n_tokens int, crc32 bigint"
 NO_ID = -(1 << 63)
@@ -60,8 +60,9 @@ def _name(root: str, shard: int, kind: str) -> str:
 
 
 def write_store(documents: DataFrame, where: str, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """Write the store at ``where``. Returns (doc_id, shard, position in the shard, token_start
-    in the store, n_tokens, crc32 of the ids' bytes), a row for each document."""
+    """Write the store at ``where``, which is complete when this returns. Gives (doc_id, shard,
+    position in the shard, token_start in the store, n_tokens, crc32 of the ids' bytes), a row
+    for each document."""
     spark = documents.sparkSession
     end = encoder(vocabulary).end_of_text
     kind = "<u2" if end < 1 << 16 else "<u4"
@@ -114,7 +115,7 @@ def write_store(documents: DataFrame, where: str, vocabulary: str = DEFAULT_VOCA
                 )
 
     table = spark.createDataFrame(shards, "shard int, n_docs bigint, base bigint")
-    return table.repartition(max(1, len(shards)), "shard").mapInArrow(offsets, ROWS)
+    return materialise(table.repartition(max(1, len(shards)), "shard").mapInArrow(offsets, ROWS), "token-rows")
 
 
 def write_documents(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
@@ -132,7 +133,7 @@ class TokenStore:
     def __post_init__(self):
         _, root = _open(self.where)
         kind = "<u2" if encoder(self.vocabulary).end_of_text < 1 << 16 else "<u4"
-        shards = sorted(f[6:-4] for f in os.listdir(root) if f.endswith(".idx"))
+        shards = sorted((f[6:-4] for f in os.listdir(root) if f.endswith(".idx")), key=int)  # names are longer from 100,000 on
         self._idx = [np.memmap(f"{root}/shard-{s}.idx", "<u8", "r") for s in shards]
         self._bin = [np.memmap(p, kind, "r") if os.path.getsize(p) else np.empty(0, kind) for p in (f"{root}/shard-{s}.bin" for s in shards)]
         self._docs = np.cumsum([0, *(len(x) - 1 for x in self._idx)])
