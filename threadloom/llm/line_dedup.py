@@ -12,8 +12,9 @@ so runs of any length are the unions of neighbouring equal windows. Every window
 first place in the order (doc_id, text hash, line) is deleted. Each distinct line survives
 at its first place.
 
-With a ``window`` of one every line that comes earlier goes, whatever its neighbours; with two,
-as the registered query and its SQL have it, a line goes only if a neighbour repeats with it.
+A line of ``alone`` characters or more is a run by itself: it is deleted wherever it comes again,
+whatever its neighbours. With a ``window`` of one this holds for every line; with two, as the
+registered query and its SQL have it, a shorter line goes only if a neighbour repeats with it.
 
 Positions are joined through an aggregate (the first place of a window) and never with each
 other, so a line that a million documents share costs a million rows, not their square.
@@ -35,25 +36,34 @@ from xxhash import xxh64_intdigest
 from .runtime import free_name, materialise, narrow
 
 _BEFORE, _AFTER = (1 << 63) - 1, (1 << 63) - 2  # above any line hash, so never a fingerprint
-_BLANKS = b" \t\r\f\x0b"
+_BLANKS = " \t\r\f\x0b"
 _BLANKS_SQL = r"' \t\r\f\u000b'"
 
 
-def _windows(docs: DataFrame, window: int) -> DataFrame:
+def _windows(docs: DataFrame, window: int, alone: int) -> DataFrame:
     """(doc_id, th, fp, new, h, at): hashes and line numbers of each window, its fingerprint,
-    and whether it is the first window that this position was chosen in."""
+    and whether it is the first window that this position was chosen in. Lines of ``alone``
+    characters are windows of one as well."""
+    names = ["doc_id", "th", "fp", "new", "h", "at"]
 
     def run(batches):
         for batch in batches:
-            hashes, numbers, size = [], [], []
-            for text in batch.column("text"):
+            hashes, numbers, size, long, owner = [], [], [], [], []
+            for k, text in enumerate(batch.column("text")):
                 n = len(hashes)
-                for i, line in enumerate(text.as_py().encode().split(b"\n")):
+                for i, line in enumerate(text.as_py().split("\n")):
                     line = line.strip(_BLANKS)
                     if line:
+                        if len(line) >= alone:
+                            long.append(len(hashes))
+                            owner.append(k)
                         hashes.append(xxh64_intdigest(line) >> 1)
                         numbers.append(i)
                 size.append(len(hashes) - n)
+            if long and window > 1:
+                h, at, row = np.array(hashes, np.int64)[long], np.array(numbers, np.int32)[long], pa.array(owner)
+                one = pa.array(np.arange(len(long) + 1, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("th").take(row), pa.array(h), pa.array(np.ones(len(long), bool)), pa.ListArray.from_arrays(one, pa.array(h)), pa.ListArray.from_arrays(one, pa.array(at))], names=names)
             size = np.array(size, np.int64)
             full = np.flatnonzero(size)
             if not len(full):
@@ -81,18 +91,18 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
                     pa.ListArray.from_arrays(lists, pa.array(wins.ravel())),
                     pa.ListArray.from_arrays(lists, pa.array(sliding_window_view(at, window)[first].ravel())),
                 ],
-                names=["doc_id", "th", "fp", "new", "h", "at"],
+                names=names,
             )
 
     return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id bigint, th bigint, fp bigint, new boolean, h array<bigint>, at array<int>")
 
 
-def repeated_lines(documents: DataFrame, window: int = 2) -> DataFrame:
+def repeated_lines(documents: DataFrame, window: int = 2, alone: int = 160) -> DataFrame:
     """(doc_id, th, gone): the numbers of the lines to delete from each document that has any."""
     if window < 1:
         raise ValueError("window must be at least 1")
     docs = narrow(documents).filter(F.length("text") > 0).select("doc_id", "text")
-    found = materialise(_windows(docs, window).filter(F.col("fp") < _AFTER), "line-windows")  # a mark alone is no line
+    found = materialise(_windows(docs, window, alone).filter(F.col("fp") < _AFTER), "line-windows")  # a mark alone is no line
     repeated = found.groupBy("fp").agg(F.count_if("new").alias("n")).filter("n > 1").select("fp")
     matched = found.join(repeated, "fp", "left_semi").withColumn("place", F.struct("doc_id", "th", F.col("at").alias("k")))
     first = matched.groupBy("h").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first <> last").select("h", "first")
@@ -100,10 +110,10 @@ def repeated_lines(documents: DataFrame, window: int = 2) -> DataFrame:
     return later.select("doc_id", "th", F.explode("at").alias("i")).filter("i >= 0").groupBy("doc_id", "th").agg(F.collect_set("i").alias("gone"))
 
 
-def dedup_lines(documents: DataFrame, window: int = 2) -> DataFrame:
+def dedup_lines(documents: DataFrame, window: int = 2, alone: int = 160) -> DataFrame:
     """(doc_id, n_lines, n_removed, text), one row for each input row; n_lines counts the
     non-blank lines, and the text is joined again from the lines that stay."""
-    gone = repeated_lines(documents, window).withColumnsRenamed({"doc_id": "g_id", "th": "g_th"})
+    gone = repeated_lines(documents, window, alone).withColumnsRenamed({"doc_id": "g_id", "th": "g_th"})
     docs = narrow(documents).withColumn("th", F.xxhash64("text"))
     joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("th") == F.col("g_th")), "left")
     return joined.selectExpr(
@@ -114,11 +124,11 @@ def dedup_lines(documents: DataFrame, window: int = 2) -> DataFrame:
     )
 
 
-def without_repeats(documents: DataFrame, window: int = 2) -> DataFrame:
+def without_repeats(documents: DataFrame, window: int = 2, alone: int = 160) -> DataFrame:
     """``documents`` with the repeated lines out of ``text``, other columns as they were, and
     without the documents of which nothing is left. A document that loses no line stays."""
     names, x = documents.columns, free_name(documents, "__gone")
-    gone = repeated_lines(documents, window).select(F.struct("doc_id", "th", "gone").alias(x))
+    gone = repeated_lines(documents, window, alone).select(F.struct("doc_id", "th", "gone").alias(x))
     kept = documents.join(gone, F.col("doc_id").eqNullSafe(F.col(f"{x}.doc_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col(f"{x}.th")), "left")
     text = f"CASE WHEN {x} IS NULL THEN text ELSE array_join(filter(split(text, '\\n'), (line, i) -> NOT array_contains({x}.gone, i)), '\\n') END"
     return kept.withColumn("text", F.expr(text)).filter(F.col(x).isNull() | F.expr(f"btrim(text, {_BLANKS_SQL.replace(' ', ' \\n', 1)}) <> ''")).select(*[F.col(f"`{c}`") for c in names])
@@ -133,7 +143,8 @@ m AS (SELECT doc_id, i, t, p FROM s
       UNION ALL SELECT doc_id, -1, chr(10) || 'after', max(p) + 1 FROM s GROUP BY doc_id),
 w AS (SELECT doc_id, p, i, lead(i) OVER q AS i2, t AS a, lead(t) OVER q AS b FROM m WINDOW q AS (PARTITION BY doc_id ORDER BY p)),
 r AS (SELECT doc_id, i, i2, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, p) AS k FROM w WHERE b IS NOT NULL),
-g AS (SELECT doc_id, i FROM r WHERE k > 1 AND i > 0 UNION SELECT doc_id, i2 FROM r WHERE k > 1 AND i2 > 0),
+q AS (SELECT doc_id, i, row_number() OVER (PARTITION BY t ORDER BY doc_id, p) AS k FROM s WHERE length(t) >= 160),
+g AS (SELECT doc_id, i FROM r WHERE k > 1 AND i > 0 UNION SELECT doc_id, i2 FROM r WHERE k > 1 AND i2 > 0 UNION SELECT doc_id, i FROM q WHERE k > 1),
 x AS (SELECT n.doc_id, count(*) FILTER (WHERE t <> '') AS n_lines, count(g.i) AS n_removed,
       coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL), '') AS kept
       FROM l JOIN n USING (doc_id, i) LEFT JOIN g ON g.doc_id = n.doc_id AND g.i = n.i GROUP BY n.doc_id)
