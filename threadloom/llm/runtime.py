@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.shipping import ship
 from threadloom.storage import discard, fresh_dir, materialise, shared_dir
 
-__all__ = ["discard", "free_name", "fresh_dir", "materialise", "shared_dir", "ship", "id_as_long", "narrow"]
+__all__ = ["discard", "free_name", "fresh_dir", "materialise", "shared_dir", "ship", "id_as_long", "narrow", "place_of"]
 
 
 def id_as_long(df: DataFrame, column: str) -> Column:
@@ -26,6 +26,12 @@ def narrow(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return df.select(id_as_long(df, id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def place_of(df: DataFrame, column: str) -> int:
+    """Where ``column`` is among the columns; as Spark does, in any case if it isn't there as written."""
+    names = df.columns if column in df.columns else [c.lower() for c in df.columns]
+    return names.index(column)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with as many underscores behind it as no column of ``df`` has, in either case."""
     taken = {c.lower() for c in df.columns}

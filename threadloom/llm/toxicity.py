@@ -2,7 +2,10 @@
 
 1. *Lexicon.* Labelled documents give, for each word, the number of toxic and of clean
    document groups that use it (a group: near copies of one document, which so counts once). Its log-odds carry an informative Dirichlet prior whose
-   mean is the word's document frequency over the **whole corpus**. Words with a z-score of
+   mean is the word's document frequency over the **whole corpus**. Candidates are the words
+   that ``min_groups`` toxic groups use, and toxic groups at least ``ratio`` times as often as
+   clean ones; no word below either reaches the next two bounds on the data that this was
+   measured on (see the README). Words with a z-score of
    ``z_min`` and ``strength`` times the log-odds that a word of toxic texts alone would have
    enter the lexicon with their log-odds as score; any other word scores
    ``log(1 - density)``, the log-likelihood ratio of a neutral word in a passage of which
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialise, narrow
+from .runtime import materialise, narrow, place_of
 from .text import Tokens, gram_hashes, mix, signed, token_chunks
 
 PASSAGES = (
@@ -178,6 +181,7 @@ def fit(
     labels: DataFrame,
     max_labelled: int = 20_000,
     min_groups: int = 3,
+    ratio: float = 2.0,
     z_min: float = 3.0,
     strength: float = 0.65,
     density: float = 0.1,
@@ -210,7 +214,7 @@ def fit(
     empty = ToxicityModel(np.empty(0, np.uint64), np.empty(0), math.log1p(-density), 1.0, 1.0)
     if not n_t or not n_c:
         return empty
-    seen = counts.filter((F.col("t") >= min_groups) & (F.col("t") * n_c > 2 * F.col("c") * n_t)).orderBy("word").toPandas()  # bounded by the sample
+    seen = counts.filter((F.col("t") >= min_groups) & (F.col("t") * n_c > ratio * F.col("c") * n_t)).orderBy("word").toPandas()  # bounded by the sample
     if seen.empty:
         return empty
     vocabulary, bitmap = sets_from(seen["word"].to_numpy(np.int64).view(np.uint64))
@@ -223,7 +227,7 @@ def fit(
                 doc = np.searchsorted(t.off, place, "right") - 1
                 once = np.unique(doc * len(vocabulary) + word)
                 total += np.bincount(once % len(vocabulary), minlength=len(vocabulary))
-                n += len(np.unique(t.doc() * (1 << 22) + (t.hash >> np.uint64(42)).astype(np.int64)))
+                n += len(np.unique(t.doc().astype(np.uint64) << np.uint64(44) | t.hash >> np.uint64(20)))  # a chunk has fewer than 2^20 texts
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], n))], names=["i", "n"])
 
@@ -286,7 +290,7 @@ def toxic_passages(documents: DataFrame, model: ToxicityModel, e_max: float = 0.
 def drop_toxic(documents: DataFrame, model: ToxicityModel, e_max: float = 0.05, p_max: float = 0.01) -> DataFrame:
     """The rows of ``documents``, all columns as they were, of which ``toxic_passages`` returns
     none. One pass, no join: each batch is scored and filtered where it lies."""
-    column = documents.columns.index("text")
+    column = place_of(documents, "text")
 
     def keep(batches):
         for batch in batches:
