@@ -6,19 +6,23 @@ threshold suits items of any length. Items of like length are neighbours, and ea
 list keeps the largest impact of every block of ``width`` items.
 
 *Queries.* Every passage of every document: windows of twice the longest item, one item
-length apart, so that each place an item can take lies whole in a window. First the bound of
-each (passage, block) is taken for a batch at once: the block maxima of the passage's rare
-terms, plus what the items of that block can get from common terms (in more than 1/8 of the
-items). Only blocks that can reach the threshold are searched, item by item, by block-max
-WAND, which retrieves all items at or above it. Both steps are exact.
+length apart, so that each place an item can take lies whole in a window. First bounds are
+taken for many passages at once. The essential terms of an item are its rarest, so many that
+the others weigh less than ``reserve``; a passage bounds a block by the block maxima of the
+essential terms that it has, plus the most that an item of the block can get from its other
+terms. Only (passage, block) with an essential term in common are held, ``_CELLS`` of them at
+a time, so memory follows neither the number of blocks nor the length of the texts. Blocks that
+can reach the threshold are searched, item by item, by block-max WAND, which retrieves all items
+at or above it. Both steps are exact.
 
 *Verification.* Retrieved items must have ``question`` of their question's 3-grams (of a
 question of one or two words: these in a row) and ``answer`` of their answer's distinct words
 in the passage; a part without a word asks for nothing. The answer is the last sentence,
 or of an item of one sentence the last quarter of its words.
 
-An index larger than ``max_items`` is cut into several that are searched one after the other,
-with term statistics of all items, so what a task holds is bounded.
+Items beyond ``max_items``, or ``max_words`` words, go to further indexes, which are searched one
+after the other with term statistics of all items, so what is broadcast at once, and what a task
+holds, is bounded. The driver holds the document frequency of each term of the benchmark.
 
 Null or empty text on either side matches nothing; null item_id or doc_id is carried as it
 is; several items of one id, and equal items, are each retrieved. No item: no row.
@@ -33,11 +37,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .runtime import id_as_long, narrow
+from .runtime import id_as_long, narrow, place_of
 from .text import Tokens, gram_hashes, token_chunks, tokens
 
 LEAKS = "doc_id bigint, item_id bigint, start_word int, end_word int, score double, question_overlap double, answer_overlap double"
 _EPS = 1e-9
+_CELLS = 1 << 20
 
 
 def split_item(text: str) -> tuple[str, str]:
@@ -53,7 +58,7 @@ def split_item(text: str) -> tuple[str, str]:
 class BlockMaxIndex:
     """Postings of items under global term statistics."""
 
-    def __init__(self, items: list[tuple[int | None, str]], n_items: int, df: dict[int, int], mean_length: float, width: int = 2, k1: float = 1.2, b: float = 0.75):
+    def __init__(self, items: list[tuple[int | None, str]], n_items: int, df: dict[int, int], mean_length: float, width: int = 2, k1: float = 1.2, b: float = 0.75, reserve: float = 0.25):
         counted = []
         for item_id, text in items:
             h = tokens([text]).hash
@@ -65,21 +70,27 @@ class BlockMaxIndex:
         self.longest = max((x[0] for x in counted), default=0)
         self.parts = []
         rows: dict[int, list[tuple[int, float]]] = {}
-        common_part = np.zeros(len(counted))
+        others = np.zeros(len(counted))
+        essential: dict[int, list[tuple[int, float]]] = {}
         for o, (n, _, text, u, c) in enumerate(counted):
             d = np.array([df[x] for x in u.tolist()], float)
             w = np.log1p((n_items - d + 0.5) / (d + 0.5)) * c * (k1 + 1) / (c + k1 * (1 - b + b * n / mean_length))
             w /= w.sum()
             for x, y in zip(u.tolist(), w.tolist()):
                 rows.setdefault(x, []).append((o, y))
-            common_part[o] = w[d > max(1, n_items / 8)].sum()
+            by = np.lexsort((u, d))
+            left = w.sum() - np.cumsum(w[by])
+            n_own = int(np.argmax(left < reserve)) + 1
+            others[o] = left[n_own - 1]
+            for i in by[:n_own].tolist():
+                essential.setdefault(int(u[i]), []).append((o, float(w[i])))
             question, answer = split_item(text)
             q, a = tokens([question]), tokens([answer])
             k = min(3, max(1, len(q.hash)))  # a shorter question is one gram of all its words
             self.parts.append((k, np.unique(gram_hashes(q, k)[0]), np.unique(a.hash)))
         self.terms = np.array(sorted(rows), np.uint64)
         self.n_blocks = -(-len(counted) // width)
-        self.rest = np.array([common_part[k * width : (k + 1) * width].max() for k in range(self.n_blocks)])
+        self.rest = np.array([others[k * width : (k + 1) * width].max() for k in range(self.n_blocks)])
         self.post = [np.array([o for o, _ in rows[x]]) for x in self.terms.tolist()]
         self.impact = [np.array([y for _, y in rows[x]]) for x in self.terms.tolist()]
         self.top = np.array([i.max() for i in self.impact])
@@ -88,24 +99,62 @@ class BlockMaxIndex:
             at = np.flatnonzero(np.diff(p // width, prepend=-1))
             self.block.append(p[at] // width)
             self.block_max.append(np.maximum.reduceat(i, at))
-        rare = np.array([df[x] <= max(1, n_items / 8) for x in self.terms.tolist()], bool)
-        size = np.array([len(b) if r else 0 for b, r in zip(self.block, rare)], np.int64)
-        self.csr = np.concatenate([[0], np.cumsum(size)])
-        self.csr_block = np.concatenate([b for b, r in zip(self.block, rare) if r] or [np.empty(0, np.int64)])
-        self.csr_max = np.concatenate([m for m, r in zip(self.block_max, rare) if r] or [np.empty(0)])
-        self.rare_bits = np.zeros(1 << 22, bool)
-        self.rare_bits[(self.terms[rare] >> np.uint64(42)).astype(np.int64)] = True
-        self.rare = rare
-
-    def hits(self, h: np.ndarray, rare: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the words that are terms (rare ones only, if asked for), and which."""
-        at = np.flatnonzero(self.rare_bits[(h >> np.uint64(42)).astype(np.int64)]) if rare else np.arange(len(h))
+        blocks, tops, size = [], [], []
+        for x in self.terms.tolist():
+            own = essential.get(x, [])
+            p, i = np.array([o for o, _ in own], np.int64), np.array([y for _, y in own])
+            at = np.flatnonzero(np.diff(p // width, prepend=-1))
+            blocks.append(p[at] // width)
+            tops.append(np.maximum.reduceat(i, at) if len(at) else i)
+            size.append(len(at))
+        self.csr = np.concatenate([[0], np.cumsum(np.array(size, np.int64))])
+        self.csr_block = np.concatenate(blocks or [np.empty(0, np.int64)])
+        self.csr_max = np.concatenate(tops or [np.empty(0)])
+        self.essential = np.array(size, np.int64) > 0
+        self.essential_bits = np.zeros(1 << 22, bool)
+        self.essential_bits[(self.terms[self.essential] >> np.uint64(42)).astype(np.int64)] = True
+
+    def hits(self, h: np.ndarray, essential: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the words that are terms (essential to an item, if asked for), and which."""
+        at = np.flatnonzero(self.essential_bits[(h >> np.uint64(42)).astype(np.int64)]) if essential else np.arange(len(h))
         i = np.minimum(np.searchsorted(self.terms, h[at]), len(self.terms) - 1)
         good = self.terms[i] == h[at]
-        if rare:
-            good &= self.rare[i]
+        if essential:
+            good &= self.essential[i]
         return at[good], i[good]
 
+    def candidates(self, window: np.ndarray, term: np.ndarray, n_windows: int, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+        """(window, blocks) of each window that a block can reach the threshold in; ``window``,
+        which ascends, has the essential term ``term``, each pair once."""
+        always = np.flatnonzero(self.rest >= threshold - _EPS)  # of items without an essential term in the window, too
+        n = self.csr[term + 1] - self.csr[term]
+        ends = np.append(np.flatnonzero(np.diff(window)) + 1, len(window)) if len(window) else np.empty(0, np.int64)
+        filled = np.cumsum(n)[ends - 1] if len(ends) else ends
+        lo = 0
+        while lo < len(ends):
+            hi = max(lo + 1, int(np.searchsorted(filled, (filled[lo - 1] if lo else 0) + _CELLS, "right")))
+            part = slice(int(ends[lo - 1]) if lo else 0, int(ends[hi - 1]))
+            m = n[part]
+            flat = np.repeat(self.csr[term[part]] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
+            key, cell = np.unique(np.repeat(window[part], m) * self.n_blocks + self.csr_block[flat], return_inverse=True)
+            good = key[np.bincount(cell, self.csr_max[flat], minlength=len(key)) + self.rest[key % self.n_blocks] >= threshold - _EPS]
+            if not len(always):
+                w = good // self.n_blocks
+                cut = np.flatnonzero(np.diff(w, prepend=-1))
+                for a, z in zip(cut, [*cut[1:], len(w)]):
+                    yield int(w[a]), good[a:z] % self.n_blocks
+            else:
+                found: dict[int, list[int]] = {}
+                for w, b in zip((good // self.n_blocks).tolist(), (good % self.n_blocks).tolist()):
+                    found.setdefault(w, []).append(b)
+                first = int(window[part.start - 1]) + 1 if part.start else 0
+                for w in range(first, int(window[part.stop - 1]) + 1):
+                    yield w, np.union1d(always, found.get(w, []))
+            lo = hi
+        if len(always):
+            for w in range(int(window[-1]) + 1 if len(window) else 0, n_windows):
+                yield w, always
+
     def search(self, terms: list[int], threshold: float, blocks: set[int] | None = None) -> list[tuple[int, float]]:
         """Block-max WAND: all items that score at least ``threshold`` (in ``blocks``, if given)."""
         lists = [[0, t] for t in terms]
@@ -159,7 +208,7 @@ def leaks_in(index: BlockMaxIndex, t: Tokens, threshold: float, question: float,
     each text, at its best passage, the earliest of equals."""
     if not len(index.terms) or not len(t.hash):
         return
-    place, term = index.hits(t.hash, rare=True)
+    place, term = index.hits(t.hash, essential=True)
     doc = np.searchsorted(t.off, place, "right") - 1
     stride = max(32, index.longest)
     length = np.diff(t.off)
@@ -170,20 +219,13 @@ def leaks_in(index: BlockMaxIndex, t: Tokens, threshold: float, question: float,
     n_terms = len(index.terms)
     pair = np.unique(np.concatenate([(first[doc] + x) * n_terms + term for x in in_two]))
     window, term = pair // n_terms, pair % n_terms
-    n = index.csr[term + 1] - index.csr[term]
-    flat = np.repeat(index.csr[term] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-    key = np.repeat(window, n) * index.n_blocks + index.csr_block[flat]
-    bound = np.bincount(key, index.csr_max[flat], minlength=int(first[-1]) * index.n_blocks).reshape(-1, index.n_blocks) + index.rest
-    todo, blocks = np.nonzero(bound >= threshold - _EPS)
     best: dict[tuple[int, int], tuple] = {}
-    cut = np.flatnonzero(np.diff(todo, prepend=-1))
-    for a, z in zip(cut, [*cut[1:], len(todo)]):
-        x = int(todo[a])
+    for x, blocks in index.candidates(window, term, int(first[-1]), threshold):
         i = int(np.searchsorted(first, x, "right")) - 1
         s = (x - int(first[i])) * stride
         e = min(int(length[i]), s + 2 * stride)
         h = t.hash[t.off[i] + s : t.off[i] + e]
-        for o, score in index.search(index.hits(np.unique(h))[1].tolist(), threshold, set(blocks[a:z].tolist())):
+        for o, score in index.search(index.hits(np.unique(h))[1].tolist(), threshold, set(blocks.tolist())):
             k, grams, words = index.parts[o]
             own = gram_hashes(Tokens(h, np.array([0, len(h)]), h, h, h, h), k)[0]
             q, r = _share(grams, own), _share(words, h)
@@ -192,8 +234,8 @@ def leaks_in(index: BlockMaxIndex, t: Tokens, threshold: float, question: float,
     yield from (best[k] for k in sorted(best))
 
 
-def build_indexes(benchmark: DataFrame, max_items: int = 50_000, width: int = 2) -> Iterator[BlockMaxIndex]:
-    """The items, at most ``max_items`` to an index. They pass through the driver one by one,
+def build_indexes(benchmark: DataFrame, max_items: int = 50_000, max_words: int = 2_000_000, width: int = 2) -> Iterator[BlockMaxIndex]:
+    """The items, at most ``max_items`` to an index, nor more than ``max_words`` words unless in one item. They pass through the driver one by one,
     twice: once for the term statistics of all, once for the postings."""
     items = benchmark.select(id_as_long(benchmark, "item_id").alias("item_id"), benchmark["text"].cast("string").alias("text")).filter("text IS NOT NULL").orderBy("item_id", "text")
     df: dict[int, int] = {}
@@ -207,11 +249,14 @@ def build_indexes(benchmark: DataFrame, max_items: int = 50_000, width: int = 2)
     if not n:
         return
     held: list[tuple[int | None, str]] = []
+    size = 0
     for row in items.toLocalIterator():
-        held.append((row[0], row[1]))
-        if len(held) == max_items:
+        more = len(tokens([row[1]]).hash)
+        if held and (len(held) == max_items or size + more > max_words):
             yield BlockMaxIndex(held, n, df, total / n, width)
-            held = []
+            held, size = [], 0
+        held.append((row[0], row[1]))
+        size += more
     if held:
         yield BlockMaxIndex(held, n, df, total / n, width)
 
@@ -241,7 +286,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.
 
 def drop_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.5, question: float = 0.5, answer: float = 0.5, max_items: int = 50_000) -> DataFrame:
     """The rows of ``documents``, all columns as they were, that hold no benchmark item."""
-    column = documents.columns.index("text")
+    column = place_of(documents, "text")
     kept = documents
     for index in build_indexes(benchmark, max_items):
         shared = documents.sparkSession.sparkContext.broadcast(index)
