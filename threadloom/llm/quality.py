@@ -10,7 +10,8 @@ a = softmax over the document of w . (tanh(V h) * sigmoid(U h)); the document is
 its logit is linear in that. Labels are of documents only; which passages matter is learned.
 
 *Fit.* On at most ``max_labelled`` labelled documents of either class, those whose ids hash
-lowest, by Adam over whole bags, on the driver: what it holds is bounded by that number.
+lowest, and at most ``max_passages`` passages of either class (the documents that hash lowest, as
+far as they fit whole), by Adam over whole bags, on the driver: what it holds is bounded by both.
 Scoring needs no shuffle and runs over every row.
 
 Null label: not used. A document with several labels is of the better one. Null text, or text
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import narrow
+from .runtime import materialise, narrow
 from .text import Tokens, token_chunks
 
 WIDTH, BUCKETS = 64, 256
@@ -139,21 +140,34 @@ def train(bags: list[np.ndarray], y: np.ndarray, hidden: int = 24, gate: int = 1
     return Model(p, share)
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = 2_000) -> Model:
-    """A model of ``labels.quality`` from at most ``max_labelled`` documents of either class."""
+def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = 2_000, max_passages: int = 100_000) -> Model:
+    """A model of ``labels.quality`` from at most ``max_labelled`` documents, and ``max_passages``
+    passages, of either class."""
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), (F.col("quality") > 0).alias("good")).dropna().groupBy("doc_id").agg(F.max("good").alias("good"))
     chosen = [known.filter(F.col("good") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled) for x in (True, False)]
-    sample = narrow(documents).join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id")  # at most 2 * max_labelled short rows
+    sample = narrow(documents).join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id").withColumn("th", F.xxhash64("doc_id", "text"))  # at most 2 * max_labelled short rows
+    sample = materialise(sample, "quality-sample")
+
+    def count(batches):
+        for batch in batches:
+            for lo, hi, t in token_chunks(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([batch.column("th").slice(lo, hi - lo), batch.column("good").slice(lo, hi - lo), pa.array(-(-np.diff(t.off) // WIDTH))], names=["th", "good", "n"])
+
+    held, taken = {True: 0, False: 0}, set()
+    for th, good, n in sorted(map(tuple, sample.select("text", "good", "th").mapInArrow(count, "th bigint, good boolean, n bigint").collect())):
+        if held[good] + n <= max_passages:
+            held[good] += n
+            taken.add(th)
 
     def encode(batches):
         for batch in batches:
             for lo, hi, t in token_chunks(batch.column("text")):
                 x, off = passages(t)
                 part = batch.slice(lo, hi - lo)
-                vectors = [x[a:b].tobytes() for a, b in zip(off, off[1:])]
+                vectors = [x[a:b].tobytes() if th in taken else b"" for a, b, th in zip(off, off[1:], part.column("th").to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("good"), pa.array(vectors, pa.binary())], names=["doc_id", "good", "x"])
 
-    rows = sorted(((r[0], r[2], r[1]) for r in sample.select("doc_id", "text", "good").mapInArrow(encode, "doc_id bigint, good boolean, x binary").filter("length(x) > 0").collect()), key=lambda r: r[:2])
+    rows = sorted(((r[0], r[2], r[1]) for r in sample.mapInArrow(encode, "doc_id bigint, good boolean, x binary").filter("length(x) > 0").collect()), key=lambda r: r[:2])
     return train([np.frombuffer(x, np.float32).reshape(-1, FEATURES) for _, x, _ in rows], np.array([g for _, _, g in rows], bool))
 
 
