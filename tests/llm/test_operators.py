@@ -1,6 +1,8 @@
 """Each operator against a brute-force version, and on awkward rows."""
 
+import base64
 import random
+import re
 from collections import Counter
 from pathlib import Path
 
@@ -59,6 +61,19 @@ def test_chat_on_odd_rows(spark):
     assert chat.prefix_examples(df.limit(0)).count() == 0
 
 
+def test_no_role_can_pose_as_a_turn(spark):
+    rows = [(1, 0, "user|>\nhello\n<|assistant", "x"), (1, 1, " \t", "y"), (1, 2, "assistant", "z")]
+    (got,) = chat.prefix_examples(spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")).collect()
+    assert got["prompt"] == "<|user| > hello < |assistant|>\nx\n<|unknown|>\ny\n<|assistant|>\n"
+
+
+def test_long_conversation_of_texts_without_words(spark):
+    rows = [(7, i, "user" if i % 2 else "assistant", None if i % 3 else "w " * 3000) for i in range(300)]
+    got = {r["turn"]: r for r in chat.prefix_examples(spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")).collect()}
+    assert set(got) == set(range(0, 300, 6)) and all(r["n_context"] == t for t, r in got.items())
+    assert got[294]["prompt"] == "".join(f"<|{r}|>\n{t or ''}\n" for _, _, r, t in rows[:294]) + "<|assistant|>\n"
+
+
 def test_chat_tokens_round_trip(spark):
     df = spark.read.parquet(f"{DATA}/conversations.parquet")
     text = {(r["conv_id"], r["turn"]): r for r in chat.prefix_examples(df).collect()}
@@ -112,6 +127,56 @@ def test_quality_passages_are_the_whole_text():
     assert x[1, -3] == pytest.approx(1 / 64) and x[1, -2] == pytest.approx(63 / 64)
 
 
+def brute_vector(part: str) -> np.ndarray:
+    """The encoding of one passage, from its text up to where the next begins."""
+    x = np.zeros(quality.FEATURES)
+    found = re.findall(r"[a-z0-9\x80-\U0010ffff]+", part.lower())
+    for w in found:
+        x[int(tokens([w]).hash[0]) >> 56] += 1 / len(found)
+    raw = part.lower().encode()
+    kinds = [b".,;:", b"!?", b"|", b"#*%$&@~^=<>/\\_+", b"0123456789", b"\n", b" \t"]
+    for c in raw:
+        k = len(kinds) + 1 if c >= 128 else next((i for i, kind in enumerate(kinds) if c in kind), len(kinds))
+        x[quality.BUCKETS + k] += 1 / len(raw)
+    x[:-3] = np.sqrt(x[:-3])
+    x[-3:] = len(set(found)) / len(found), sum(a == b for a, b in zip(found, found[1:])) / len(found), np.log1p(sum(len(w.encode()) for w in found) / len(found)) - 1.5
+    return x
+
+
+def test_quality_scores_equal_brute_force(spark, docs):
+    """Encoding, gated attention and score of each document, passage by passage in plain loops."""
+    rng = np.random.default_rng(5)
+    model = quality.Model(quality._start(rng, 6, 4), 0.5)
+    p = {k: v.astype(float) for k, v in model.w.items()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: r for r in quality.score(docs, model).collect()}
+    assert set(got) == set(texts)
+    for i, text in texts.items():
+        low = text.lower() + "\n"
+        at = [m.start() for m in re.finditer(r"[a-z0-9\x80-\U0010ffff]+", low)][:: quality.WIDTH]
+        assert got[i]["n_passages"] == len(at)
+        if not at:
+            continue
+        h, e = [], []
+        for a, z in zip(at, [*at[1:], len(low)]):
+            v = np.tanh(brute_vector(low[a:z]) @ p["W"] + p["b"])
+            h.append(v)
+            e.append(sum(np.tanh(v @ p["V"][:, g]) / (1 + np.exp(-(v @ p["U"][:, g]))) * p["w"][g] for g in range(4)))
+        weight = np.exp(e) / np.exp(e).sum()
+        z = sum(a * v for a, v in zip(weight, h)) @ p["c"] + p["d"][0]
+        assert got[i]["score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
+        assert got[i]["top_attention"] == pytest.approx(weight.max(), abs=1e-4) and weight[got[i]["top_passage"]] == pytest.approx(weight.max(), abs=1e-5)
+
+
+def test_quality_ties_and_bounds(spark):
+    same = " ".join(["word"] * 64)
+    df = spark.createDataFrame([(1, "\n".join([same] * 3)), (1, "\n".join([same] * 3)), (2, "other words here")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int")
+    rows = quality.score(df, quality.fit(df, labels)).collect()
+    assert [(r["top_passage"], r["top_attention"]) for r in rows if r["doc_id"] == 1] == [(0, pytest.approx(1 / 3, abs=1e-5))] * 2  # the first of equal ones
+    assert quality.fit(df, labels, max_passages=2).w == {} and quality.fit(df, labels, max_passages=2).prior == 0.0  # document 1 does not fit
+
+
 def test_quality_on_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(4, 1), (5, 0), (None, 1), (6, None), (4, 0)], "doc_id bigint, quality int")
     rows = quality.score(odd, quality.fit(odd, labels)).collect()
@@ -124,8 +189,8 @@ def test_quality_on_odd_rows(spark, odd, empty):
 # --- 3 -----------------------------------------------------------------------
 
 
-def brute_lines(rows, window=2):
-    """Text of each row after deleting all windows but the first of their kind."""
+def brute_lines(rows, window=2, alone=160):
+    """Text of each row after deleting all windows, and all long lines, but the first of their kind."""
     keyed = sorted({(i is not None, i or 0, t) for i, t in rows if t}, key=lambda r: r[:2])
     seen, gone = set(), {}
     for has, i, t in keyed:
@@ -139,6 +204,11 @@ def brute_lines(rows, window=2):
             if w in seen:
                 cut |= {n for n, _ in seq[k : k + window] if n >= 0}
             seen.add(w)
+        for n, x in seq:
+            if n >= 0 and len(x) >= alone:
+                if x in seen:
+                    cut.add(n)
+                seen.add(x)
     return [t and "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i is not None, i or 0, t]) if t and gone[i is not None, i or 0, t] else t for i, t in rows]
 
 
@@ -150,6 +220,16 @@ def test_lines_equal_brute_force(spark):
     assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter(zip([i for i, _ in rows], brute_lines(rows)))
 
 
+def test_a_long_line_goes_whatever_its_neighbours(spark):
+    rng = random.Random(17)
+    long = ["x" * 159, "é" * 160, "y" * 200]
+    rows = [(i, "\n".join(rng.choice([*long, "a", "b", f"u{i}", f"v{i}"]) for _ in range(rng.randrange(7)))) for i in range(60)]
+    for window in (1, 2, 3):
+        got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), window).collect()
+        assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(zip([i for i, _ in rows], brute_lines(rows, window)))
+    assert sum((r["text"] or "").count("é" * 160) for r in got) == sum((r["text"] or "").count("y" * 200) for r in got) == 1
+
+
 def test_lines_on_odd_rows(spark, odd, empty):
     assert line_dedup.dedup_lines(odd).count() == 12
     kept = line_dedup.without_repeats(odd)
@@ -190,6 +270,71 @@ def test_leaks_are_found_and_clean_documents_not(spark):
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(100 + i, i) for i in range(41)}
 
 
+def brute_leaks(docs, items, threshold):
+    """(doc, item) by BM25 of each item in each window, and verification, in plain loops."""
+    split = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    words_of = {i: split(t) for i, t in items}
+    df = Counter(w for ws in words_of.values() for w in set(ws))
+    mean, longest = sum(map(len, words_of.values())) / len(items), max(32, *map(len, words_of.values()))
+    grams = lambda ws, k: {tuple(ws[j : j + k]) for j in range(len(ws) - k + 1)}
+    for d, text in docs:
+        ws = split(text)
+        windows = [ws[x * longest : x * longest + 2 * longest] for x in range(max(1, -(-(len(ws) - longest) // longest)))]
+        for i, t in items:
+            own = words_of[i]
+            weight = {w: np.log1p((len(items) - df[w] + 0.5) / (df[w] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(own) / mean)) for w, c in Counter(own).items()}
+            question, answer = map(split, decontaminate.split_item(t))
+            k = min(3, max(1, len(question)))
+            for window in windows:
+                there = set(window)
+                if sum(v for w, v in weight.items() if w in there) / sum(weight.values()) >= threshold - 1e-9:
+                    q, a = grams(question, k), set(answer)
+                    if len(q & grams(window, k)) >= 0.5 * len(q) and len(a & there) >= 0.5 * len(a):
+                        yield d, i
+                        break
+
+
+@pytest.mark.parametrize("threshold", [0.1, 0.5, 0.9])
+def test_leaks_equal_brute_force(spark, threshold):
+    """Items of common and rare words; at 0.1 items without an essential term in a passage count too."""
+    rng = random.Random(18)
+    items = [(i, f"{' '.join(words(rng, rng.randrange(3, 30), 80))}. {' '.join(words(rng, rng.randrange(1, 8), 4000))}.") for i in range(60)]
+    rows = []
+    for d in range(60):
+        text = words(rng, rng.randrange(200), 80)
+        for _ in range(rng.randrange(3)):
+            own = [w for w in rng.choice(items)[1].split() if rng.random() < 0.85]
+            at = rng.randrange(len(text) + 1)
+            text[at:at] = own
+        rows.append((d, " ".join(text)))
+    found = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), threshold, max_items=25)
+    wanted = set(brute_leaks(rows, items, threshold))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == wanted and len(wanted) > 15
+
+
+def test_indexes_are_bounded(spark):
+    rng = random.Random(19)
+    df = spark.createDataFrame([(i, " ".join(words(rng, 40))) for i in range(30)] + [(99, " ".join(words(rng, 500)))], "item_id bigint, text string")
+    sizes = [(len(x.ids), x.longest) for x in decontaminate.build_indexes(df, max_items=12, max_words=400)]
+    assert sizes == [(10, 40)] * 3 + [(1, 500)]
+
+
+def test_many_items_take_little_memory():
+    """50,000 items: what a chunk of text holds follows the postings met, not windows times blocks."""
+    import tracemalloc
+
+    rng = random.Random(20)
+    items = [(i, " ".join(words(rng, 16, 30_000))) for i in range(50_000)]
+    df = Counter(x for lo in range(0, 50_000, 5000) for t in [tokens([t for _, t in items[lo : lo + 5000]])] for d in range(5000) for x in set(t.hash[t.off[d] : t.off[d + 1]].tolist()))
+    index = decontaminate.BlockMaxIndex(items, len(items), df, 16.0)
+    t = tokens([" ".join(words(rng, 20_000, 30_000)) + " " + items[7][1], " ".join(words(rng, 300, 30_000))])
+    tracemalloc.start()
+    found = [x[:2] for x in decontaminate.leaks_in(index, t, 0.5, 0.5, 0.5)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [index.ids[o] for i, o in found if i == 0] == [7] and peak < 200e6
+
+
 def test_leaks_on_odd_rows(spark, odd, empty):
     bench = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, None), (3, ""), (None, "d e f"), (4, "?")], "item_id int, text string")
     assert Counter((r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(odd, bench).collect()) == {(4, 1): 4, (4, None): 1}
@@ -216,6 +361,47 @@ def test_token_files_round_trip(spark, docs, tmp_path):
     assert sum(f.stat().st_size for f in Path(f"{tmp_path}/store").glob("*.bin")) == 2 * at
 
 
+def naive_bpe(text, path):
+    """Byte pairs merged one at a time, least rank first."""
+    import regex
+
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(path))}
+    out = []
+    for piece in regex.findall(bpe.PATTERN, text):
+        parts = [bytes([c]) for c in piece.encode()]
+        while len(parts) > 1:
+            r, i = min((ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+            if r == 1 << 60:
+                break
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        out += [ranks[x] for x in parts]
+    return out
+
+
+def test_token_files_equal_naive_tokenising(spark, docs, tmp_path):
+    some = docs.filter("length(text) < 1500")
+    where = f"file://{tmp_path}/naive"
+    rows = token_store.write_store(some, where).orderBy("token_start").collect()
+    texts, store = {r["doc_id"]: r["text"] for r in some.collect()}, token_store.TokenStore(where)
+    for i, r in enumerate(rows[:60]):
+        assert store[i].tolist() == [*naive_bpe(texts[r["doc_id"]], bpe.DEFAULT_VOCABULARY), bpe.encoder(bpe.DEFAULT_VOCABULARY).end_of_text]
+
+
+def test_a_store_is_whole_when_written_and_in_the_order_of_its_shards(spark, tmp_path):
+    where = f"{tmp_path}/store"
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id bigint, text string").coalesce(1)
+    token_store.write_store(df, f"file://{where}")  # what it returns isn't read
+    assert len(token_store.TokenStore(f"file://{where}")) == 40
+    shard = Path(where)
+    for kind in ("bin", "idx", "ids", "len"):
+        (shard / f"shard-00000.{kind}").rename(shard / f"shard-99999.{kind}")
+    token_store.write_store(df.filter("doc_id < 3"), f"file://{where}")
+    for kind in ("bin", "idx", "ids", "len"):
+        (shard / f"shard-00000.{kind}").rename(shard / f"shard-100000.{kind}")
+    store = token_store.TokenStore(f"file://{where}")
+    assert [store.text(i) for i in (0, 39, 40, 42)] == ["text 0", "text 39", "text 0", "text 2"]
+
+
 def test_token_files_on_odd_rows(spark, odd, empty, tmp_path):
     rows = token_store.write_store(odd, f"file://{tmp_path}/odd").orderBy("token_start").collect()
     store = token_store.TokenStore(f"file://{tmp_path}/odd")
@@ -401,6 +587,34 @@ def test_windows_do_not_depend_on_ids_and_lose_no_end(spark):
     assert len(rows) == 2 and sum(r["n_tokens"] for r in rows) == n
 
 
+def test_packed_windows_cost_no_more_than_brute_force(spark, docs):
+    """The whole query against a quadratic programme over all boundaries of the table."""
+    small = spark.createDataFrame(sorted((r["doc_id"], r["text"]) for r in docs.collect() if 0 < len(r["text"]) < 900)[:60], "doc_id bigint, text string")
+    capacity = 200
+    rows = packing.pack(small, capacity=capacity).orderBy("window").collect()
+    bounds, inside, begins = [0], [False], {}
+    for r in sorted(small.collect()):
+        ends = packing.sentence_ends(r["text"], bpe.DEFAULT_VOCABULARY, capacity)
+        begins[r["doc_id"]] = bounds[-1]
+        bounds, inside = bounds + [begins[r["doc_id"]] + int(x) for x in ends], inside + [True] * (len(ends) - 1) + [False]
+    best = [0.0] + [float("inf")] * (len(bounds) - 1)
+    for j in range(1, len(bounds)):
+        steps = [(best[i] + (capacity - z if (z := bounds[j] - bounds[i]) <= capacity else 4.0 * (z - capacity)), z > capacity) for i in range(j)]
+        if j == len(bounds) - 1 and not all(over for _, over in steps):
+            steps = [x for x in steps if not x[1]]  # the last window loses nothing if it can
+        best[j] = min(steps)[0] + (16.0 if inside[j] else 0)
+    place = dict(zip(bounds, inside))
+    cuts = [begins[r["segments"][0]["doc_id"]] + r["segments"][0]["first_token"] for r in rows[1:]]
+    assert set(cuts) <= set(bounds)
+    assert sum(r["n_padding"] + 4.0 * r["n_truncated"] for r in rows) + 16.0 * sum(place[c] for c in cuts) == pytest.approx(best[-1])
+
+
+def test_packing_takes_the_earliest_of_equal_cuts():
+    cuts, cost = packing.best_cuts([0, 2, 4, 6], [False] * 4, 4, 1.0, 4.0, 0.0)
+    assert (cuts, cost) == ([0, 2, 3], 2.0) or (cuts, cost) == ([0, 1, 3], 2.0)
+    assert cuts == [0, 1, 3]
+
+
 def test_packing_on_odd_rows(odd, empty):
     rows = packing.pack(odd, truncation=1e6).collect()  # at the usual price the last few tokens of a shard may be cheaper lost than padded
     assert {s["doc_id"] for r in rows for s in r["segments"]} == {None, 3, 4, 5, 6, 7, 8} and not sum(r["n_truncated"] for r in rows)
@@ -449,6 +663,70 @@ def test_toxicity_held_out(spark):
     assert toxicity.drop_toxic(docs, model).count() == docs.count() - len(toxic)
 
 
+def toxic_table(spark):
+    """Labelled texts, no two alike, of which the toxic ones share a few words."""
+    rng = random.Random(21)
+    rows, labels = [], []
+    for i in range(120):
+        toxic = i % 3 == 0
+        text = words(rng, 60, 900) + ([rng.choice(["vile", "scum"]) for _ in range(5)] if toxic else []) + (["rude"] if i % 2 == 0 or toxic else [])
+        rng.shuffle(text)
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(toxic)))
+    rows += [(1000 + i, " ".join(words(rng, 60, 900))) for i in range(80)]
+    return rows, labels
+
+
+def test_log_odds_and_calibration_equal_brute_force(spark):
+    rows, labels = toxic_table(spark)
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    text = {i: t.split() for i, t in rows}
+    y = {True: Counter(), False: Counter()}
+    for i, toxic in labels:
+        y[bool(toxic)].update(set(text[i]))
+    n_t, n_c = sum(y[True].values()), sum(y[False].values())
+    uses = Counter(w for t in text.values() for w in set(t))
+    all_uses, share = sum(uses.values()), sum(toxic for _, toxic in labels) / len(labels)
+    share = n_t / (n_t + n_c)
+    most = np.log1p(1 / share) + np.log((n_c + n_t) / (n_t + n_t))
+    wanted, p = {}, {}
+    for w in uses:  # every word, with no bound on how often it is used
+        prior = uses[w] / all_uses * n_t
+        a, b = y[True][w] + prior, y[False][w] + prior
+        delta = np.log(a / (2 * n_t - a)) - np.log(b / (n_c + n_t - b))
+        if delta / np.sqrt(1 / a + 1 / b) >= 3.0 and delta >= 0.65 * most:
+            wanted[int(tokens([w]).hash[0])], p[w] = delta, b / (n_c + n_t)
+    got = dict(zip(model.hashes.tolist(), model.scores.tolist()))
+    assert set(p) == {"vile", "scum"} and got == pytest.approx(wanted)
+    s = {w: wanted[int(tokens([w]).hash[0])] for w in p}
+    neutral = np.log(0.9)
+    mean = lambda x: sum(p[w] * np.exp(x * s[w]) for w in p) + (1 - sum(p.values())) * np.exp(x * neutral)
+    assert model.neutral == pytest.approx(neutral) and model.lam > 0 and mean(model.lam) == pytest.approx(1)
+    clean = [text[i] for i, toxic in labels if not toxic]
+    least = min(s.values())
+    above = sum(x[2] >= least for t in clean for x in toxicity.maximal_segments([k for k, w in enumerate(t) if w in s], [s[w] for w in t if w in s], neutral))
+    assert model.k == pytest.approx((above + 1) / (sum(map(len, clean)) * np.exp(-model.lam * least)))
+
+
+def test_toxicity_of_a_model_on_odd_rows(spark, odd, empty):
+    """Null, empty and very long texts, repeated rows and clashing columns, with words of the model in them."""
+    rows, labels = toxic_table(spark)
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    assert len(model.hashes)
+    names = odd.columns
+    bad = " ".join(["vile scum"] * 6)
+    long = "plain " * 200_000
+    more = spark.createDataFrame([(20, bad, 1, "x", "y", [1]), (20, bad, 1, "x", "y", [1]), (None, bad.upper(), 1, "x", "y", [1]), (21, long + bad + " plain" * 200_000, 1, "x", "y", [1]), (22, long, 1, "x", "y", [1])], odd.schema)
+    df = odd.unionAll(more)
+    found = toxicity.toxic_passages(df, model).collect()
+    assert Counter(r["doc_id"] for r in found) == {20: 2, None: 1, 21: 1}
+    assert [(r["start_word"], r["end_word"]) for r in found if r["doc_id"] == 21] == [(200_000, 200_012)]
+    kept = toxicity.drop_toxic(df, model)
+    assert kept.columns == names and kept.count() == df.count() - 4
+    assert toxicity.drop_toxic(df.withColumnRenamed("text", "Text"), model).count() == df.count() - 4
+    assert toxicity.toxic_passages(empty, model).count() == 0 and toxicity.drop_toxic(empty, model).count() == 0
+
+
 def test_every_significant_passage_is_returned(spark):
     """One significant passage among many chance words of the lexicon, which must not hide it."""
     h = tokens(["vile"]).hash
