@@ -1,7 +1,9 @@
 """Values from outside for keys and threads: statuses and labels, kept in tables so that nothing is asked twice.
 
 A *resolver* gives a state for each id of a pandas Series; a *classifier* gives a label for a thread's text. Both run in ``mapInPandas`` over one row for each
-key or thread that the cache table lacks, so what is asked is spread over executors, and ``workers`` bounds how many ask at once.
+key or thread that the cache table lacks, so what is asked is spread over executors, and ``workers`` bounds how many ask at once. With a ``journal``, a
+folder that all executors share, each task writes its answers there every ``SAVE_EVERY`` of them and when it fails, and :func:`sources.tables.load_cache`
+reads them, so an interrupted run asks again for little.
 """
 
 from __future__ import annotations
@@ -46,21 +48,63 @@ def state_of_list(json: Column, list_id: str) -> Column:
     return F.get(F.filter(items, lambda p: p["project"]["list_id"] == list_id), F.lit(0))["state"]
 
 
+#: Answers that a task holds before it writes them to the journal.
+SAVE_EVERY = 50
+
+
+def lookup_counts(keys: DataFrame, cache: DataFrame) -> DataFrame:
+    """(subsystem, n_keys, n_cached, n_asked): how many distinct keys the cache answers, and how many must be asked for."""
+    known = keys.distinct().join(cache.select("subsystem", "msgid").distinct().withColumn("__known", F.lit(True)), ["subsystem", "msgid"], "left")
+    return known.groupBy("subsystem").agg(F.count("*").alias("n_keys"), F.count("__known").alias("n_cached"), F.count_if(F.col("__known").isNull()).alias("n_asked"))
+
+
+def by_subsystem(resolvers: dict[str, Callable[[str], str | None]]) -> Callable[[str, str], str | None]:
+    """One resolver of several, chosen by the key's subsystem; one without a resolver raises."""
+
+    def run(subsystem, msgid):
+        if subsystem not in resolvers:
+            raise ValueError(f"no resolver for {subsystem}; there are: {', '.join(sorted(resolvers))}")
+        return resolvers[subsystem](msgid)
+
+    return run
+
+
+def _answers(part, ask: Callable, names: list[str], pause: float, journal: str | None) -> list:
+    """``ask`` of each row of a pandas part. What was answered is in the journal even if a later row raises."""
+    from threadloom.sources.tables import journal_write
+
+    answers, saved = [], 0
+    rows = list(part.itertuples(index=False))
+
+    def save():
+        nonlocal saved
+        if journal and len(answers) > saved:
+            journal_write(journal, [dict(zip(names, (*key, a))) for key, a in zip(part[names[:-1]].itertuples(index=False, name=None), answers)][saved:])
+        saved = len(answers)
+
+    try:
+        for row in rows:
+            answers.append(ask(row))
+            if len(answers) - saved >= SAVE_EVERY:
+                save()
+            if pause:
+                time.sleep(pause)
+    finally:
+        save()
+    return answers
+
+
 def lookup(keys: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(hits, misses) of (subsystem, msgid). A cached null is a hit."""
     return keys.join(cache, ["subsystem", "msgid"]), keys.join(cache, ["subsystem", "msgid"], "left_anti")
 
 
-def resolve(misses: DataFrame, resolver: Callable, workers: int = 8, pause: float = 0.0) -> DataFrame:
+def resolve(misses: DataFrame, resolver: Callable, workers: int = 8, pause: float = 0.0, journal: str | None = None) -> DataFrame:
     """(subsystem, msgid, state) by ``resolver(subsystem, msgid)``, None for not found; a failure after its retries is raised."""
 
     def run(parts):
         for part in parts:
-            states = []
-            for s, m in zip(part["subsystem"], part["msgid"]):
-                states.append(resolver(s, m))
-                if pause:
-                    time.sleep(pause)
+            states = _answers(part, lambda r: resolver(r[0], r[1]), ["subsystem", "msgid", "state"], pause, journal)
             yield part.assign(state=states).astype({"state": object})
 
     return misses.select("subsystem", "msgid").repartition(workers).mapInPandas(run, "subsystem string, msgid string, state string")
@@ -95,26 +139,42 @@ def allowed(c: Column) -> Column:
     return F.when(X.strip(c).isin(*LABELS, "ERROR"), X.strip(c)).otherwise("INSUFFICIENT_INFORMATION")
 
 
-def classify(texts: DataFrame, classifier: Callable[[str], str], thread: str = "_thread_id", workers: int = 8, pause: float = 0.0) -> DataFrame:
+def classify(texts: DataFrame, classifier: Callable[[str], str], thread: str = "_thread_id", workers: int = 8, pause: float = 0.0, journal: str | None = None) -> DataFrame:
     """(thread, label) of (thread, prompt); a classifier that raises gives ERROR."""
     kind = dict(texts.dtypes)[thread]
 
+    def ask(row):
+        try:
+            found = str(classifier(row[1])).strip()
+        except Exception:  # any failure of the outside service is a value
+            return "ERROR"
+        return found if found in LABELS else "INSUFFICIENT_INFORMATION"
+
     def run(parts):
         for part in parts:
-            labels = []
-            for x in part["prompt"]:
-                try:
-                    labels.append(classifier(x))
-                except Exception:  # any failure of the outside service is a value
-                    labels.append("ERROR")
-                if pause:
-                    time.sleep(pause)
-            yield part[[thread]].assign(label=labels)
+            yield part[[thread]].assign(label=_answers(part[[thread, "prompt"]], ask, [thread, "label"], pause, journal))
 
     raw = texts.select(thread, "prompt").repartition(workers).mapInPandas(run, f"`{thread}` {kind}, label string")
     return raw.select(thread, allowed(F.col("label")).alias("label"))
 
 
+TAXONOMY = """You are given one discussion of a software patch. Say what it has to do with duplicated code.
+
+CODE_DUPLICATION: the discussion is about code that repeats other code: it is pointed out, added, or argued over.
+REDUNDANCY_REMOVAL: the patch takes repeated code away, by sharing, moving or deleting it.
+NOT_CODE_DUPLICATION: words like "duplicate" occur, but of data, messages, files or names, not of code.
+INSUFFICIENT_INFORMATION: the discussion is too short or too unclear to tell.
+
+Answer with one of the four names and nothing else.
+
+"""
+
+
+def with_taxonomy(model: Callable[[str], str]) -> Callable[[str], str]:
+    """A classifier out of a model that answers a prompt: the labels are explained before each thread."""
+    return lambda thread: model(TAXONOMY + thread)
+
+
 def rule_classifier(prompt: str) -> str:
     """An offline stand-in for an outside model."""
     low = prompt.lower()

@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import json
+import re
 import tarfile
+import uuid
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from threadloom.functions.text import cell
+from threadloom.storage import materialise
 
 _CSV = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+_JOURNAL = "journal"
 CACHE = "subsystem string, msgid string, state string"
 
 
@@ -24,16 +29,32 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Parquet if the path ends so or is a folder of it, else CSV with a header, in which texts may have line breaks. Without a schema CSV is all text."""
-    if not path.endswith(".csv"):
+    """Parquet if the path ends so or is a folder that isn't called ``.csv``, else CSV with a header, in which texts may have line breaks. Without a schema
+    the types of CSV columns are inferred, at the price of a pass over it."""
+    if path.endswith(".parquet") or not path.endswith(".csv") and is_folder(spark, path):
         return spark.read.parquet(path)
     reader = spark.read.options(header=True, multiLine=True, **_CSV)
-    return (reader.schema(schema) if schema else reader).csv(path)
+    return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.exists(where) and files.getFileStatus(where).isDirectory()
 
 
 def with_row_order(df: DataFrame, name: str = "_row_order") -> DataFrame:
-    """Adds each row's number in its file; rows of several files need the file beside it (``_file``) to be told apart."""
-    return df.select("*", F.col("_metadata.row_index").alias(name), F.col("_metadata.file_path").alias("_file"))
+    """Adds each row's number from 0 in the order of (file, row), whatever the number of files: the rows of each file are counted, and the sums over the
+    files before it are added. A file of CSV is read by one task (its texts may have line breaks), so its rows come in order there."""
+    parquet = "row_index" in df.select("_metadata").schema["_metadata"].dataType.names
+    at = F.col("_metadata.row_index") if parquet else F.monotonically_increasing_id()
+    placed = df.drop(name).select("*", F.col("_metadata.file_path").alias("__file"), at.alias("__at"))
+    if not parquet:
+        placed = materialise(placed, "csv-rows")
+    files = placed.groupBy("__file").agg(F.count("*").alias("__n"), F.min("__at").alias("__least"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a file
+    bases = files.select("__file", (before - (F.lit(0) if parquet else F.col("__least"))).alias("__base"))
+    return placed.join(bases, "__file").withColumn(name, F.col("__at") + F.col("__base")).drop("__file", "__at", "__base")
 
 
 def read_list(spark: SparkSession, root: str, name: str | None = None) -> DataFrame:
@@ -75,15 +96,34 @@ def head(df: DataFrame, n: int = 10, columns: str | None = None, full: bool = Fa
 
 
 def load_cache(spark: SparkSession, path: str, schema: str = CACHE) -> DataFrame:
-    """The newest complete version of a lookup table; an empty one if there is none."""
+    """The newest complete version of a lookup table; an empty one if there is none. Answers that an interrupted run left in the journal belong to it."""
     versions = _versions(spark, path)
-    return spark.read.schema(schema).parquet(f"{path}/{versions[-1]}") if versions else spark.createDataFrame([], schema)
+    saved = spark.read.schema(schema).parquet(f"{path}/{versions[-1]}") if versions else spark.createDataFrame([], schema)
+    if not exists(spark, f"{path}/{_JOURNAL}"):
+        return saved
+    late = spark.read.schema(saved.schema).json(f"{path}/{_JOURNAL}").dropDuplicates(saved.columns[:-1])
+    return saved.unionByName(late.join(saved, saved.columns[:-1], "left_anti"))
 
 
 def save_cache(df: DataFrame, path: str) -> None:
-    """Write a new version beside the old ones; it counts once it is complete, so a reader or a failure never meets half a table."""
-    versions = _versions(df.sparkSession, path)
+    """Write a new version beside the old ones; it counts once it is complete, so a reader or a failure never meets half a table. What the journal had
+    is in it, so the journal goes."""
+    spark = df.sparkSession
+    versions = _versions(spark, path)
     df.write.parquet(f"{path}/v{int(versions[-1][1:]) + 1 if versions else 0:08d}")
+    journal = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{_JOURNAL}")
+    journal.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(journal, True)
+
+
+def journal_write(path: str, rows: list[dict]) -> None:
+    """Add answers to the journal of the lookup table at ``path``, from any task: a file of its own, moved into place when it is whole."""
+    local = not re.match(r"\w+:/", path)
+    system, root = (fs.LocalFileSystem(), path) if local else fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    system.create_dir(f"{root}/{_JOURNAL}", recursive=True)
+    draft = f"{root}/{_JOURNAL}/_{uuid.uuid4().hex}"  # readers pass over names that begin so
+    with system.open_output_stream(draft, compression=None) as out:
+        out.write("".join(json.dumps(r) + "\n" for r in rows).encode())
+    system.move(draft, f"{root}/{_JOURNAL}/{uuid.uuid4().hex}.json")
 
 
 def _versions(spark: SparkSession, path: str) -> list[str]:
@@ -96,9 +136,12 @@ def _versions(spark: SparkSession, path: str) -> list[str]:
     return sorted(p.getName() for p in found if p.getName().startswith("v") and files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
 
-def json_cache(path: str) -> dict:
-    """A cache of the older JSON form; none, empty."""
-    return json.loads(Path(path).read_text()) if Path(path).exists() else {}
+def json_cache(spark: SparkSession, path: str, thread_type: str | None = None) -> DataFrame:
+    """A cache of the older JSON form, one object: of ``subsystem|msgid`` and states, or with a ``thread_type`` of threads and labels. No file: empty."""
+    found = json.loads(Path(path).read_text()) if Path(path).exists() else {}
+    if thread_type is None:
+        return spark.createDataFrame([(*k.split("|", 1), v) for k, v in found.items()], CACHE)
+    return spark.createDataFrame([(k, v) for k, v in found.items()], "k string, label string").select(F.col("k").try_cast(thread_type).alias("_thread_id"), "label")
 
 
 def per_file(spark: SparkSession, paths: Iterable[str]) -> Iterator[tuple[str, DataFrame | None]]:
@@ -127,6 +170,16 @@ def pack_folders(source: str, target: str, prefix: str, size: int = 35) -> list[
     return made
 
 
+def pack_lineage(folder: str, target: str, prefix: str) -> str:
+    """A folder of lineage in one archive, under its own name, best compression. One that is none raises."""
+    if not Path(folder).is_dir():
+        raise ValueError(f"{folder} is no folder")
+    made = f"{target}/{prefix}.data-lineage.tar.gz"
+    with tarfile.open(made, "w:gz", compresslevel=9) as t:
+        t.add(folder, arcname=Path(folder).name)
+    return made
+
+
 def unpack_archives(source: str, target: str) -> list[str]:
     """All data and lineage archives of ``source``, into ``target``."""
     found = sorted([*Path(source).glob("*dataset.tar.gz"), *Path(source).glob("*data-lineage.tar.gz")])
