@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,18 +28,50 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionAll(starred.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    """(u, v) of each node and the least of its component, by union-find over few edges."""
+
+    def run(batches):
+        up: dict = {}
+
+        def root(x):
+            while up.setdefault(x, x) != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        kind = None
+        for batch in batches:
+            kind = batch.schema
+            for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+                x, y = (root(tuple(z.items()) if isinstance(z, dict) else z) for z in (u, v))
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+        if kind is not None:
+            plain = lambda z: dict(z) if isinstance(z, tuple) else z
+            yield pa.RecordBatch.from_pylist([{"u": plain(z), "v": plain(root(z))} for z in up], schema=kind)
+
+    return edges.coalesce(1).mapInArrow(run, edges.schema)
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, few: int = 100_000) -> DataFrame:
     """(node, component) for every node that an edge names; the component is its least node.
 
     Nodes may be of any ordered type. Edges with a null end are ignored, loops only name their
     node. Each round is written to the shared folder, so lineage stays short and a lost
     executor costs one round at most; rounds grow with the logarithm of the largest diameter.
+    As soon as a round leaves no more than ``few`` edges, one task finishes them; the result is
+    the same. Nodes are numbers, text, or structures of them without nulls.
     """
     named = materialise(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).dropna(), "edges")  # read twice
     nodes = named.select("u").unionAll(named.select("v")).distinct()
     now = materialise(named.filter("u <> v").distinct(), "components")
     before = None
     for _ in range(max_rounds):
+        if (before[0] if before else now.count()) <= few:
+            after = materialise(_in_one_task(now), "components")
+            discard(now)
+            now = after
+            break
         after = materialise(_small_star(_large_star(now)), "components")
         discard(now)
         now = after

@@ -64,7 +64,7 @@ def replay_labels(df: DataFrame, threads: DataFrame, row: str = "_row_order") ->
         def root(x):
             up.setdefault(x, x)
             while up[x] != x:
-                x = up[x]
+                up[x] = x = up[up[x]]
             return x
 
         part = part.sort_values("row")
