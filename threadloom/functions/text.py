@@ -149,6 +149,20 @@ def cell(c: Column, width: int = 120) -> Column:
     return F.when(F.length(c) > width, F.concat(F.substring(c, 1, width), F.lit("... [+"), (F.length(c) - width).cast("string"), F.lit(" chars]"))).otherwise(c)
 
 
+def listing(df: DataFrame) -> Column:
+    """A message as text: heads, flags, body and code, as far as the table has such columns. The subject without tags only where it differs."""
+    field = lambda n: clean_text(F.array_join(as_list(df, n), "\n"))
+    there = lambda n: n in df.columns
+    rule = "-" * 40
+    subject, untagged, body, code = map(field, ("subject", "untagged_subject", "raw_body", "code"))
+    heads = [F.concat(F.lit(f"{label}: "), F.coalesce(F.array_join(as_list(df, n), ", ") if n != "date" else F.col(n).cast("string"), F.lit(""))) for n, label in (("date", "Date"), ("from", "From"), ("to", "To"), ("cc", "Cc")) if there(n)]
+    tags = F.when((untagged != "") & (untagged != subject), F.concat(F.lit("Without tags: "), untagged))
+    flags = [F.concat(F.lit(f"{label} match: "), F.coalesce(F.col(n).cast("string"), F.lit("unknown"))) for n, label in (("_dup_subject_match", "Subject"), ("_dup_content_match", "Content"), ("_dup_match", "Any")) if there(n)]
+    parts = [F.when(text != "", F.concat(F.lit(f"\n{name}\n{rule}\n"), text)) for name, text in (("Body", body), ("Code", code))]
+    none = F.when((body == "") & (code == ""), F.lit("\n(neither body nor code)"))
+    return F.concat_ws("\n", *heads, F.concat(F.lit("Subject: "), subject), tags, *flags, *parts, none)
+
+
 def to_time(df: DataFrame, name: str) -> Column:
     """A timestamp; null where the text is none."""
     c = F.col(f"`{name}`")

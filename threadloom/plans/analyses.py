@@ -11,16 +11,20 @@ from pyspark.sql import functions as F
 from threadloom.functions import text as X
 from threadloom.operators import enrich, patches
 from threadloom.operators import threads as T
+from threadloom.storage import materialise
 
-_SCRATCH = ("_subject_text", "_content_text")
+FLAGS = ("_dup_subject_match", "_dup_content_match", "_dup_match")
+
+
+def _dated(df: DataFrame) -> DataFrame:
+    return df.withColumns({"_msg_id": T.node(df), "__date": X.to_time(df, "date")}).drop("date").withColumnRenamed("__date", "date")
 
 
 def with_threads(df: DataFrame, scope: str | None = None) -> DataFrame:
     """Adds _msg_id and _thread_id (the row that names the thread), dates as timestamps. The graph is built on ids alone; wide rows meet its result in one join."""
     T.require(df, T.REQUIRED)
     found = T.thread_ids(df, scope=scope).withColumnsRenamed({"row": "__row", "thread": "_thread_id"})
-    dated = df.withColumns({"_msg_id": T.node(df), "__date": X.to_time(df, "date")}).drop("date").withColumnRenamed("__date", "date")
-    return dated.join(found, F.col("_row_order") == F.col("__row"), "left").drop("__row")
+    return _dated(df).join(found, F.col("_row_order") == F.col("__row"), "left").drop("__row")
 
 
 @dataclass
@@ -31,12 +35,33 @@ class Filtered:
 
 
 def filter_threads(df: DataFrame, fraction: float = 0.1, seed: int = 0, pattern_mode: str = "as_written", scope: str | None = None) -> Filtered:
-    """Whole threads with a match, a sample of them marked, versions linked. Versions are linked after the others are gone, so among the kept rows only."""
-    flags = T.match_flags(with_threads(df, scope), pattern_mode)
-    good = T.matching_threads(flags)
+    """Whole threads with a match, a sample of them marked, versions linked. Versions are linked after the others are gone, so among the kept rows only.
+
+    The patterns run once: threads and flags of each row are written as a narrow table, from which threads are chosen, sampled and counted; wide rows meet
+    it in one join."""
+    marks = row_marks(df, pattern_mode, scope)
+    good = materialise(T.matching_threads(marks), "matching-threads")
     sample = T.sample_threads(good, fraction, seed)
-    kept = patches.version_links(T.mark(T.keep_threads(flags, good), sample, "_thread_id", "manual_verification"))
-    return Filtered(flags, kept.drop(*_SCRATCH), T.filter_stats(flags, sample))
+    chosen = T.mark(T.keep_threads(marks, good), sample, "_thread_id", "manual_verification")
+    return Filtered(_with_marks(df, marks), patches.version_links(_with_marks(df, chosen)), T.filter_stats(marks, sample))
+
+
+def row_marks(df: DataFrame, pattern_mode: str = "as_written", scope: str | None = None) -> DataFrame:
+    """(_row_order, _thread_id, the three flags) of each row, written once."""
+    T.require(df, T.REQUIRED)
+    found = T.thread_ids(df, scope=scope).withColumnsRenamed({"row": "_row_order", "thread": "_thread_id"})
+    return materialise(T.match_flags(df, pattern_mode).select("_row_order", *FLAGS).join(found, "_row_order"), "match-flags")
+
+
+def _with_marks(df: DataFrame, marks: DataFrame) -> DataFrame:
+    lost = [c for c in marks.columns if c != "_row_order"]
+    return _dated(df.drop(*lost)).join(marks, "_row_order")
+
+
+def matching_rows(df: DataFrame, pattern_mode: str = "as_written") -> DataFrame:
+    """The rows of the threads with a match, with threads and flags."""
+    marks = row_marks(df, pattern_mode)
+    return _with_marks(df, T.keep_threads(marks, T.matching_threads(marks)))
 
 
 def link_stats(kept: DataFrame) -> DataFrame:
@@ -44,22 +69,28 @@ def link_stats(kept: DataFrame) -> DataFrame:
     return kept.agg(F.count_if(linked).alias("rows_linked"), F.count_distinct(F.when(linked, F.col("first_version_message_id"))).alias("version_groups"))
 
 
-def status(df: DataFrame, subsystem: str, cache: DataFrame, resolver: Callable | None = None, workers: int = 8, pause: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """(rows with ``accepted``, cache with what was asked). Without a resolver only the cache answers."""
-    marked = patches.last_patches(df)
-    keys = marked.filter("is_last_patch").select(F.lit(subsystem).alias("subsystem"), X.plain_id(F.col("message_id")).alias("msgid")).filter("msgid <> ''").distinct()
+def status_keys(df: DataFrame, subsystem: str) -> DataFrame:
+    """(subsystem, msgid) of each last patch that has an id, once."""
+    last = patches.last_patches(df).filter("is_last_patch")
+    return last.select(F.lit(subsystem).alias("subsystem"), X.plain_id(F.col("message_id")).alias("msgid")).filter("msgid <> ''").distinct()
+
+
+def status(df: DataFrame, subsystem: str, cache: DataFrame, resolver: Callable | None = None, workers: int = 8, pause: float = 1.0, journal: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``accepted``, cache with what was asked). Without a resolver only the cache answers. Each miss is asked for once, when this is called;
+    with a ``journal`` (the cache's folder) answers are saved as they come."""
     known = cache
     if resolver is not None:
-        _, misses = enrich.lookup(keys, cache)
-        known = cache.unionByName(enrich.resolve(misses, resolver, workers, pause))
-    return enrich.accepted(marked, known, subsystem).drop("is_last_patch"), known
+        _, misses = enrich.lookup(status_keys(df, subsystem), cache)
+        known = cache.unionByName(materialise(enrich.resolve(misses, resolver, workers, pause, journal), "states"))
+    return enrich.accepted(patches.last_patches(df), known, subsystem).drop("is_last_patch"), known
 
 
-def classify(df: DataFrame, classifier: Callable[[str], str], cache: DataFrame | None = None, workers: int = 8, pause: float = 0.2) -> tuple[DataFrame, DataFrame]:
-    """(rows with ``duplication_classification``, labels of all threads). Threads that the cache has are not asked again."""
+def classify(df: DataFrame, classifier: Callable[[str], str], cache: DataFrame | None = None, workers: int = 8, pause: float = 0.2, journal: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``duplication_classification``, labels of all threads). Threads that the cache has are not asked again, others once, when this is called;
+    with a ``journal`` (the cache's folder) labels are saved as they come."""
     T.require(df, ("_thread_id",))
     todo = df if cache is None else df.join(cache, "_thread_id", "left_anti")
-    labels = enrich.classify(enrich.prompts(todo), classifier, "_thread_id", workers, pause)
+    labels = materialise(enrich.classify(enrich.prompts(todo), classifier, "_thread_id", workers, pause, journal), "labels")
     labels = labels if cache is None else cache.unionByName(labels)
     return enrich.label_rows(df, labels), labels
 

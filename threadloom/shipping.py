@@ -19,7 +19,7 @@ def ship(spark: SparkSession) -> SparkSession:
     the session says otherwise: with 64 MB, each held several times over on either side, long
     texts fill an executor."""
     context = spark.sparkContext
-    if spark.conf.get(_BATCH) == "67108864b":  # as it is where nobody set it
+    if not spark._jsparkSession.conf().contains(_BATCH):  # nobody set it
         spark.conf.set(_BATCH, "4194304b")
     if context.applicationId not in _shipped:
         here = Path(__file__).resolve().parent
