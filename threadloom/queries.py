@@ -59,9 +59,17 @@ def thread_components(spark, sf_dir):
     return T.thread_ids(messages(spark, sf_dir)).withColumnRenamed("row", "_row_order")
 
 
-@query(f"{SQL_THREADS} SELECT _row_order, thread FROM thr JOIN m USING (_row_order) WHERE list = 'list1'")
+_SPLIT = """m2 AS (SELECT *, CASE WHEN t % 2 = 0 THEN 'even' ELSE 'odd' END AS side FROM m),
+links2 AS (SELECT side, node, trim(in_reply_to, '<>') AS other FROM m2 WHERE in_reply_to IS NOT NULL
+           UNION ALL SELECT side, node, unnest(regexp_extract_all(ref_item, '<([^<> ]+)>', 1)) FROM m2 WHERE ref_item IS NOT NULL),
+e2 AS (SELECT side, node AS a, other AS b FROM links2 UNION SELECT side, other, node FROM links2),
+reach2 AS (SELECT side, node AS x, node AS y FROM m2 UNION SELECT reach2.side, reach2.x, e2.b FROM reach2 JOIN e2 ON reach2.y = e2.a AND reach2.side = e2.side)"""
+
+
+@query(f"{SQL_THREADS}, {_SPLIT} SELECT p._row_order, min(q._row_order) AS thread FROM m2 p JOIN reach2 ON reach2.x = p.node AND reach2.side = p.side JOIN m2 q ON q.node = reach2.y AND q.side = reach2.side GROUP BY p._row_order")
 def thread_components_by_list(spark, sf_dir):
-    df = messages(spark, sf_dir).filter("list = 'list1'")
+    """All messages, those of one conversation in two lists: ids that both lists name don't join them."""
+    df = messages(spark, sf_dir).withColumn("list", F.expr("CASE WHEN t % 2 = 0 THEN 'even' ELSE 'odd' END"))
     return T.thread_ids(df, scope="list").withColumnRenamed("row", "_row_order")
 
 
@@ -95,8 +103,19 @@ def dup_match_intended(spark, sf_dir):
 @query(f"{TF} SELECT _row_order, thread, message_id, subject, hit FROM f WHERE thread IN (SELECT thread FROM good)")
 def matching_threads_rows(spark, sf_dir):
     """The flagship: every message of the threads with a match."""
-    flags = T.match_flags(_threaded(spark, sf_dir))
-    return T.keep_threads(flags, T.matching_threads(flags)).select("_row_order", F.col("_thread_id").alias("thread"), "message_id", "subject", F.col("_dup_match").alias("hit"))
+    return analyses.matching_rows(messages(spark, sf_dir)).select("_row_order", F.col("_thread_id").alias("thread"), "message_id", "subject", F.col("_dup_match").alias("hit"))
+
+
+@query(f"{TF} SELECT _row_order, thread, hit FROM f WHERE thread IN (SELECT thread FROM good)")
+def matching_threads_of_many_files(spark, sf_dir):
+    """The same over a table of several files, of which rows are numbered across all."""
+    where = fresh_dir(spark, "files")
+    df = messages(spark, sf_dir)
+    df.withColumnRenamed("_row_order", "was").repartitionByRange(5, "was").sortWithinPartitions("was").write.parquet(where)
+    read = tables.with_row_order(tables.read_table(spark, where))
+    kept = analyses.matching_rows(read)
+    first = read.select(F.col("_row_order").alias("_thread_id"), F.col("was").alias("thread"))
+    return kept.join(first, "_thread_id").select(F.col("was").alias("_row_order"), "thread", F.col("_dup_match").alias("hit"))
 
 
 _SAMPLE = "n AS (SELECT count(*) AS n FROM good), pick AS (SELECT thread FROM (SELECT thread, row_number() OVER (ORDER BY md5(concat(thread, ':0')), thread) AS r FROM good), n WHERE r <= greatest(1, ceil(0.1 * n.n)))"
@@ -112,13 +131,12 @@ def filter_stats(spark, sf_dir):
 
 @query(f"{TF} SELECT thread, _row_order, subject FROM (SELECT *, row_number() OVER (PARTITION BY thread ORDER BY date NULLS LAST, _row_order) AS r FROM f WHERE thread IN (SELECT thread FROM good)) WHERE r = 1")
 def first_email_per_thread(spark, sf_dir):
-    flags = T.match_flags(_threaded(spark, sf_dir))
-    return T.first_messages(T.keep_threads(flags, T.matching_threads(flags))).select(F.col("_thread_id").alias("thread"), "_row_order", "subject")
+    return T.first_messages(analyses.matching_rows(messages(spark, sf_dir))).select(F.col("_thread_id").alias("thread"), "_row_order", "subject")
 
 
 @query(f"{TF}, {_SAMPLE} SELECT _row_order, thread IN (SELECT thread FROM pick) AS manual_verification FROM f")
 def manual_sample(spark, sf_dir):
-    flags = T.match_flags(_threaded(spark, sf_dir))
+    flags = analyses.row_marks(messages(spark, sf_dir))
     return T.mark(flags, T.sample_threads(T.matching_threads(flags)), "_thread_id", "manual_verification").select("_row_order", "manual_verification")
 
 
@@ -194,6 +212,12 @@ def accepted_status(spark, sf_dir):
     return _status(spark, sf_dir).select("_row_order", "accepted")
 
 
+@query(f"""{SQL_THREADS}, {_LAST}, k AS (SELECT DISTINCT node, (c + t) % 4 <> 3 AS known FROM lp WHERE last AND message_id IS NOT NULL)
+SELECT 'iio' AS subsystem, count(*) AS n_keys, count(*) FILTER (WHERE known) AS n_cached, count(*) FILTER (WHERE NOT known) AS n_asked FROM k HAVING count(*) > 0""")
+def lookup_counts(spark, sf_dir):
+    return enrich.lookup_counts(analyses.status_keys(_threaded(spark, sf_dir), "iio"), _state_cache(spark, sf_dir))
+
+
 @query(f"{SQL_THREADS}, {_LAST} SELECT CASE WHEN a = '' THEN '(not found)' ELSE a END AS accepted, count(*) AS n FROM (SELECT {_ACCEPTED} AS a FROM lp) GROUP BY 1")
 def status_histogram(spark, sf_dir):
     return enrich.histogram(_status(spark, sf_dir))
@@ -210,35 +234,33 @@ def json_state_pick(spark, sf_dir):
 # --- labels ------------------------------------------------------------------
 
 _CUT = lambda c: f"CASE WHEN length({c}) > 4000 THEN concat(left({c}, 4000), chr(10), '[...truncated...]') ELSE coalesce({c}, '') END"
-_PROMPT = f"""p AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY t) AS i, count(*) OVER (PARTITION BY c) AS n FROM m),
-pr AS (SELECT c, max(n) AS n_messages, concat('THREAD with ', max(n), ' message(s).', chr(10), CASE WHEN max(n) > 60 THEN concat('(Showing only the first 60 messages.)', chr(10)) ELSE '' END,
+_PROMPT = f"""p AS (SELECT m.*, thread, row_number() OVER (PARTITION BY thread ORDER BY _row_order) AS i, count(*) OVER (PARTITION BY thread) AS n FROM m JOIN thr USING (_row_order)),
+pr AS (SELECT thread, max(n) AS n_messages, concat('THREAD with ', max(n), ' message(s).', chr(10), CASE WHEN max(n) > 60 THEN concat('(Showing only the first 60 messages.)', chr(10)) ELSE '' END,
 string_agg(concat(chr(10), repeat('=', 48), chr(10), 'MESSAGE ', i, ' of ', n, chr(10), repeat('=', 48), chr(10), chr(10), 'Subject:', chr(10), {_CUT('subject')}, chr(10), chr(10), 'Email body:', chr(10), {_CUT('raw_body')}, chr(10), chr(10),
-'Patch/code:', chr(10), {_CUT('code_item')}, chr(10)), '' ORDER BY i)) AS prompt FROM p WHERE i <= 60 GROUP BY c)"""
+'Patch/code:', chr(10), {_CUT('code_item')}, chr(10)), '' ORDER BY i)) AS prompt FROM p WHERE i <= 60 GROUP BY thread)"""
 
 
 def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich.prompts(messages(spark, sf_dir), "c")
+    return enrich.prompts(_threaded(spark, sf_dir)).withColumnRenamed("_thread_id", "thread")
 
 
-@query(f"{M}, {_PROMPT} SELECT c, n_messages, length(prompt) AS n_chars, md5(prompt) AS digest FROM pr")
+@query(f"{SQL_THREADS}, {_PROMPT} SELECT thread, n_messages, length(prompt) AS n_chars, md5(prompt) AS digest FROM pr")
 def thread_prompt(spark, sf_dir):
-    return _prompts(spark, sf_dir).select("c", "n_messages", F.length("prompt").cast("bigint").alias("n_chars"), F.md5("prompt").alias("digest"))
+    return _prompts(spark, sf_dir).select("thread", "n_messages", F.length("prompt").cast("bigint").alias("n_chars"), F.md5("prompt").alias("digest"))
 
 
-_LABEL = """lb AS (SELECT c, CASE WHEN contains(lower(prompt), 'duplicate code') OR contains(lower(prompt), 'cloned block') THEN 'CODE_DUPLICATION' WHEN contains(lower(prompt), 'deduplicated') THEN 'REDUNDANCY_REMOVAL'
+_LABEL = """lb AS (SELECT thread, CASE WHEN contains(lower(prompt), 'duplicate code') OR contains(lower(prompt), 'cloned block') THEN 'CODE_DUPLICATION' WHEN contains(lower(prompt), 'deduplicated') THEN 'REDUNDANCY_REMOVAL'
 WHEN contains(replace(lower(prompt), 'patch/code:', ''), 'code') THEN 'NOT_CODE_DUPLICATION' ELSE 'INSUFFICIENT_INFORMATION' END AS label FROM pr)"""
 
 
-@query(f"{M}, {_PROMPT}, {_LABEL} SELECT _row_order, label AS duplication_classification FROM m JOIN lb USING (c)")
+@query(f"{SQL_THREADS}, {_PROMPT}, {_LABEL} SELECT _row_order, label AS duplication_classification FROM thr JOIN lb USING (thread)")
 def thread_labels(spark, sf_dir):
-    df = messages(spark, sf_dir)
-    return enrich.label_rows(df, enrich.classify(enrich.prompts(df, "c"), enrich.rule_classifier, "c"), "c").select("_row_order", "duplication_classification")
+    return analyses.classify(_threaded(spark, sf_dir), enrich.rule_classifier, pause=0)[0].select("_row_order", "duplication_classification")
 
 
-@query(f"{M}, {_PROMPT}, {_LABEL} SELECT count(DISTINCT c) AS labelled_threads, count(label) AS labelled_messages, count(*) AS messages FROM m JOIN lb USING (c)")
+@query(f"{SQL_THREADS}, {_PROMPT}, {_LABEL} SELECT count(DISTINCT thread) AS labelled_threads, count(label) AS labelled_messages, count(*) AS messages FROM thr JOIN lb USING (thread)")
 def classification_summary(spark, sf_dir):
-    df = messages(spark, sf_dir).withColumn("_thread_id", F.col("c"))
-    return analyses.classification_summary(analyses.classify(df, enrich.rule_classifier, pause=0)[0])
+    return analyses.classification_summary(analyses.classify(_threaded(spark, sf_dir), enrich.rule_classifier, pause=0)[0])
 
 
 @query(f"""{SQL_THREADS}, h AS (SELECT DISTINCT thread FROM m JOIN thr USING (_row_order) WHERE regexp_matches(sender, '(?i)[\\w.+-]+@(?:[\\w.-]+\\.)?usp[.]br\\b'))
@@ -247,14 +269,25 @@ def sender_domain_threads(spark, sf_dir):
     return analyses.threads_with_sender(_threaded(spark, sf_dir), "usp.br").select(F.col("_thread_id").alias("thread"), "_row_order", "position", "total")
 
 
-@query(f"""{M}, a AS (SELECT c FROM m WHERE c % 3 = 1 AND t = 1 GROUP BY c ORDER BY min(_row_order) LIMIT 5)
-SELECT c AS thread, _row_order, row_number() OVER w AS position, replace(trim(raw_body), chr(13), chr(10)) AS body FROM m WHERE c IN (SELECT c FROM a) WINDOW w AS (PARTITION BY c ORDER BY date NULLS LAST, _row_order)""")
+@query(f"""{SQL_THREADS}, a AS (SELECT thread FROM m JOIN thr USING (_row_order) WHERE c % 3 = 1 AND t = 1 GROUP BY thread ORDER BY min(_row_order) LIMIT 5)
+SELECT thread, _row_order, row_number() OVER w AS position, replace(trim(raw_body), chr(13), chr(10)) AS body FROM m JOIN thr USING (_row_order) WHERE thread IN (SELECT thread FROM a) WINDOW w AS (PARTITION BY thread ORDER BY date NULLS LAST, _row_order)""")
 def inspect_first_n_threads(spark, sf_dir):
-    df = messages(spark, sf_dir)
-    df = df.withColumns({"_thread_id": F.col("c"), "flag": F.when(F.expr("c % 3 = 1 AND t = 1"), " Yes ").otherwise("t"), "date": X.to_time(df, "date")})
+    df = _threaded(spark, sf_dir).withColumn("flag", F.when(F.expr("c % 3 = 1 AND t = 1"), " Yes ").otherwise("t"))
     return analyses.inspect(df, 5, "flag").select(F.col("_thread_id").alias("thread"), "_row_order", "position", X.clean_text(F.col("raw_body")).alias("body"))
 
 
+_RULE = "repeat('-', 40)"
+
+
+@query(f"""{M} SELECT _row_order, concat_ws(chr(10), concat('Date: ', coalesce(date_text, '')), concat('From: ', sender), concat('Subject: ', trim(subject)),
+CASE WHEN trim(untagged_subject) <> '' AND trim(untagged_subject) <> trim(subject) THEN concat('Without tags: ', trim(untagged_subject)) END, concat('Subject match: ', s), concat('Content match: ', b), concat('Any match: ', s OR b),
+CASE WHEN trim(raw_body) <> '' THEN concat(chr(10), 'Body', chr(10), {_RULE}, chr(10), trim(raw_body)) END, CASE WHEN code_item IS NOT NULL THEN concat(chr(10), 'Code', chr(10), {_RULE}, chr(10), code_item) END,
+CASE WHEN trim(raw_body) = '' AND code_item IS NULL THEN concat(chr(10), '(neither body nor code)') END) AS shown FROM (SELECT *, {_hit()} FROM m)""")
+def message_listing(spark, sf_dir):
+    df = T.match_flags(messages(spark, sf_dir))
+    return df.select("_row_order", X.listing(df).alias("shown"))
+
+
 # --- tables ------------------------------------------------------------------
 
 
@@ -312,6 +345,14 @@ def csv_roundtrip(spark, sf_dir):
     return tables.read_table(spark, where, "_row_order bigint, message_id string, subject string, raw_body string, code string")
 
 
+@query(f"{M} SELECT CAST(row_number() OVER (ORDER BY _row_order) - 1 AS BIGINT) AS place, _row_order AS was FROM m")
+def row_order_of_many_files(spark, sf_dir):
+    """Rows of several files are numbered through, in the order of the files."""
+    where = fresh_dir(spark, "files")
+    messages(spark, sf_dir).select(F.col("_row_order").alias("was"), "subject").repartitionByRange(7, "was").sortWithinPartitions("was").write.parquet(where)
+    return tables.with_row_order(tables.read_table(spark, where), "place").select("place", "was")
+
+
 @query(f"{M} SELECT _row_order, message_id, raw_body FROM m")
 def parquet_roundtrip(spark, sf_dir):
     where = fresh_dir(spark, "messages")
