@@ -6,14 +6,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.storage import discard, materialise
+from threadloom.storage import discard, distilled, materialise
 
 
 def _least_neighbour(edges: DataFrame) -> DataFrame:
     """Adds ``m``: the least of u and its neighbours v. An aggregate and a join rather than a
-    window, so that the many edges of a hub are combined map-side and AQE can split its join."""
+    window, so that the many edges of a hub are combined map-side; the aggregate is written, so
+    that the join has plain shuffles on both sides and AQE can split a hub's."""
     least = edges.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("m"))
-    return edges.join(least, "u")
+    return edges.join(materialise(least, "least-neighbours"), "u")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -72,7 +73,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
             discard(now)
             now = after
             break
-        after = materialise(_small_star(_large_star(now)), "components")
+        after = distilled(edges.sparkSession, "components", lambda now=now: _small_star(_large_star(now)))
         discard(now)
         now = after
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
 _own: dict[str, str] = {}
+_scratch: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,7 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    where = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(where)
+    return where
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -35,6 +41,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """The folders that :func:`fresh_dir` names inside are deleted at the end: all that is to stay must have been written elsewhere, or read, by then."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in _scratch.pop():
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def distilled(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build`` gives, written like :func:`materialise`; the tables that it wrote on the way are deleted."""
+    where = fresh_dir(spark, name)
+    with scratch(spark):
+        df = build()
+        df.write.parquet(where)
+    return spark.read.schema(df.schema).parquet(where)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that :func:`materialise` wrote."""
     spark = df.sparkSession
