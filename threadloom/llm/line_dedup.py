@@ -103,11 +103,13 @@ def repeated_lines(documents: DataFrame, window: int = 2, alone: int = 160) -> D
         raise ValueError("window must be at least 1")
     docs = narrow(documents).filter(F.length("text") > 0).select("doc_id", "text")
     found = materialise(_windows(docs, window, alone).filter(F.col("fp") < _AFTER), "line-windows")  # a mark alone is no line
-    repeated = found.groupBy("fp").agg(F.count_if("new").alias("n")).filter("n > 1").select("fp")
-    matched = found.join(repeated, "fp", "left_semi").withColumn("place", F.struct("doc_id", "th", F.col("at").alias("k")))
+    # aggregates are written before they are joined, so that AQE sees plain shuffles and can split a hot line's
+    repeated = materialise(found.groupBy("fp").agg(F.count_if("new").alias("n")).filter("n > 1").select("fp"), "line-fingerprints")
+    matched = materialise(found.join(repeated, "fp", "left_semi").select("h", F.struct("doc_id", "th", F.col("at").alias("k")).alias("place")), "line-matches")
     first = matched.groupBy("h").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first <> last").select("h", "first")
+    first = materialise(first, "first-lines")
     later = matched.join(first, "h").filter("place <> first")
-    return later.select("doc_id", "th", F.explode("at").alias("i")).filter("i >= 0").groupBy("doc_id", "th").agg(F.collect_set("i").alias("gone"))
+    return later.select("place.doc_id", "place.th", F.explode("place.k").alias("i")).filter("i >= 0").groupBy("doc_id", "th").agg(F.collect_set("i").alias("gone"))
 
 
 def dedup_lines(documents: DataFrame, window: int = 2, alone: int = 160) -> DataFrame:
