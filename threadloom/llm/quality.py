@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialise, narrow
+from .runtime import materialise, narrow, tidy
 from .text import Tokens, token_chunks
 
 WIDTH, BUCKETS = 64, 256
@@ -140,13 +140,14 @@ def train(bags: list[np.ndarray], y: np.ndarray, hidden: int = 24, gate: int = 1
     return Model(p, share)
 
 
+@tidy
 def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = 2_000, max_passages: int = 100_000) -> Model:
     """A model of ``labels.quality`` from at most ``max_labelled`` documents, and ``max_passages``
     passages, of either class."""
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), (F.col("quality") > 0).alias("good")).dropna().groupBy("doc_id").agg(F.max("good").alias("good"))
     chosen = [known.filter(F.col("good") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled) for x in (True, False)]
     sample = narrow(documents).join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id").withColumn("th", F.xxhash64("doc_id", "text"))  # at most 2 * max_labelled short rows
-    sample = materialise(sample, "quality-sample")
+    sample = materialise(sample.dropDuplicates(["th"]), "quality-sample")
 
     def count(batches):
         for batch in batches:
@@ -154,7 +155,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = 2_000, max_
                 yield pa.RecordBatch.from_arrays([batch.column("th").slice(lo, hi - lo), batch.column("good").slice(lo, hi - lo), pa.array(-(-np.diff(t.off) // WIDTH))], names=["th", "good", "n"])
 
     held, taken = {True: 0, False: 0}, set()
-    for th, good, n in sorted(map(tuple, sample.select("text", "good", "th").mapInArrow(count, "th bigint, good boolean, n bigint").collect())):
+    for th, good, n in map(tuple, sample.select("text", "good", "th").mapInArrow(count, "th bigint, good boolean, n bigint").orderBy("th").limit(4 * max_labelled).collect()):  # an id can have many texts
         if held[good] + n <= max_passages:
             held[good] += n
             taken.add(th)

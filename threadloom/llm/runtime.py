@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.shipping import ship
-from threadloom.storage import discard, fresh_dir, materialise, shared_dir
+from threadloom.storage import discard, distilled, fresh_dir, materialise, scratch, shared_dir
 
-__all__ = ["discard", "free_name", "fresh_dir", "materialise", "shared_dir", "ship", "id_as_long", "narrow", "place_of"]
+__all__ = ["discard", "distilled", "free_name", "fresh_dir", "materialise", "shared_dir", "scratch", "ship", "id_as_long", "narrow", "place_of", "tidy"]
 
 
 def id_as_long(df: DataFrame, column: str) -> Column:
@@ -32,6 +35,17 @@ def place_of(df: DataFrame, column: str) -> int:
     return names.index(column)
 
 
+def tidy(fit: Callable) -> Callable:
+    """For functions of a DataFrame that return no DataFrame: what they write on the way is deleted."""
+
+    @wraps(fit)
+    def run(documents: DataFrame, *args, **more):
+        with scratch(documents.sparkSession):
+            return fit(documents, *args, **more)
+
+    return run
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with as many underscores behind it as no column of ``df`` has, in either case."""
     taken = {c.lower() for c in df.columns}

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialise, narrow, place_of
+from .runtime import materialise, narrow, place_of, tidy
 from .text import Tokens, gram_hashes, mix, signed, token_chunks
 
 PASSAGES = (
@@ -176,6 +176,7 @@ def _copy_groups(sample: DataFrame, bands: int = 8) -> tuple[np.ndarray, np.ndar
     return ids, np.array([root(x) for x in range(len(ids))], np.int64)
 
 
+@tidy
 def fit(
     documents: DataFrame,
     labels: DataFrame,
