@@ -1,6 +1,7 @@
 """The pipeline against its stages done one by one, and against rows planted here."""
 
 import random
+from pathlib import Path
 
 import corpus_pipeline
 from conftest import DATA
@@ -54,3 +55,52 @@ def test_one_of_rows_loaded_twice_stays(spark):
     left = corpus_pipeline.drop_near_duplicates(spark, df, "")
     assert left.columns == df.columns
     assert sorted(map(str, (tuple(r) for r in left.collect()))) == sorted(map(str, rows + [(9, None), (9, None)]))
+
+
+def odd_tables(spark, where):
+    long = " ".join(f"w{i % 977}x{i // 977}" for i in range(40_000))
+    rows = [(None, "a text of a row without an id"), (None, "a text of a row without an id"), (1, None), (1, None), (2, ""), (3, " \n\t "), (4, "a b c d"), (4, "a b c d"), (4, "quite other words"), (5, long), (6, long + " end"), (7, "Ünï çödé 漢字"), (8, "!!! ???"), (9, "one line\none line\nlast"), (None, None), (10, "before the item that all have to know after")]
+    spark.createDataFrame([(1, "the item that all have to know"), (2, None), (None, ""), (3, "?")], "item_id int, text string").write.parquet(f"{where}/benchmark.parquet")
+    spark.createDataFrame([(4, 1, 1), (5, 0, 0), (None, 1, 1), (7, None, None)], "doc_id bigint, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
+    return spark.createDataFrame([(i, t, len(t or ""), [1], 1, "s") for i, t in rows], "doc_id int, text string, n_chars int, gone array<int>, th int, __gone string")
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """The table in the pipeline's docstring: each stage on nulls, empty and very long texts, repeated rows, and columns called like its own."""
+    docs = odd_tables(spark, tmp_path)
+    stages = dict(corpus_pipeline.STAGES)
+    run = lambda name: stages[name](spark, docs, str(tmp_path))
+    ids = lambda df: sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "") for r in df.collect())
+    everything = ids(docs)
+    for name in list(stages)[:4]:
+        assert run(name).columns == docs.columns
+    assert ids(run("toxicity")) == everything
+    lines = run("line dedup").collect()
+    assert [r["text"] for r in lines if r["doc_id"] == 9] == ["one line\nlast"] and [r["n_chars"] for r in lines if r["doc_id"] == 9] == [13]
+    assert len(lines) == len(everything) and sum(r["text"] == "a b c d" for r in lines) == 2
+    left = ids(run("n-gram Jaccard join"))
+    assert [x[:2] for x in left] == [(False, 0), (False, 0), *[(True, i) for i in (1, 1, 2, 3, 4, 4, 5, 7, 8, 9, 10)]]
+    assert ids(run("benchmark decontamination")) == [x for x in everything if x[1] != 10]
+    packed = {s["doc_id"] for r in run("packing").collect() for s in r["segments"]}
+    assert packed == {None, 3, 4, 5, 6, 7, 8, 9, 10}
+
+
+def test_empty_tables(spark, tmp_path):
+    docs = odd_tables(spark, tmp_path)
+    none = spark.createDataFrame([], docs.schema)
+    for name, stage in corpus_pipeline.STAGES:
+        df = stage(spark, none, str(tmp_path))
+        assert df.count() == 0 and (name == "packing" or df.columns == docs.columns)
+    where = f"{tmp_path}/without"
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").limit(0).write.parquet(f"{where}/{name}.parquet")
+    for name in ("toxicity", "benchmark decontamination"):
+        assert dict(corpus_pipeline.STAGES)[name](spark, docs, where).count() == docs.count()
+
+
+def test_runs_leave_only_their_results(spark, tmp_path):
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    odd_tables(spark, tmp_path).write.parquet(f"{tmp_path}/documents.parquet")
+    before = {p.name for p in folder.iterdir()}
+    corpus_pipeline.run(spark, str(tmp_path)).count()
+    assert {p.name.rsplit("-", 1)[0] for p in folder.iterdir() if p.name not in before} == {"pipeline-" + n.replace(" ", "-") for n, _ in corpus_pipeline.STAGES}
