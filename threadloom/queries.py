@@ -231,6 +231,15 @@ def json_state_pick(spark, sf_dir):
     return _read(spark, sf_dir, "events").select("event_id", k.alias("k"), enrich.state_of_list(answer, "ours").alias("state"))
 
 
+@query(f"""{M}, u AS (SELECT _row_order, concat('/patch/', c * 8 + t, CASE WHEN t % 2 = 0 THEN '/' ELSE '' END, CASE WHEN t % 3 = 0 THEN 'mbox' ELSE '' END) AS there, concat('/patch/msgid/', url_encode(node), '/') AS path FROM m)
+SELECT _row_order, path, nullif(regexp_extract(CASE WHEN _row_order % 5 = 0 THEN '/nowhere' ELSE there END, '/patch/(\\d+)/?', 1), '') AS patch FROM u""")
+def tracker_paths(spark, sf_dir):
+    """The address of a message in a tracker, and the patch number in the address that it points to."""
+    df = messages(spark, sf_dir)
+    there = F.expr("CASE WHEN _row_order % 5 = 0 THEN '/nowhere' ELSE concat('/patch/', c * 8 + t, CASE WHEN t % 2 = 0 THEN '/' ELSE '' END, CASE WHEN t % 3 = 0 THEN 'mbox' ELSE '' END) END")
+    return df.select("_row_order", F.concat(F.lit("/patch/msgid/"), X.url_path(T.node(df)), F.lit("/")).alias("path"), X.patch_id_of_url(there).alias("patch"))
+
+
 # --- labels ------------------------------------------------------------------
 
 _CUT = lambda c: f"CASE WHEN length({c}) > 4000 THEN concat(left({c}, 4000), chr(10), '[...truncated...]') ELSE coalesce({c}, '') END"
