@@ -44,7 +44,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of similar ones: that of the least id, and of equal rows one. Rows without a
     text, or without an id and unlike any other, stay."""
     ship(spark)
-    return ngram_join.one_of_equal_rows(ngram_join.keep_one_of_each(docs))
+    kept = ngram_join.one_of_equal_texts(ngram_join.keep_one_of_each(docs.filter("text IS NOT NULL")))
+    return kept.unionAll(docs.filter("text IS NULL"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
