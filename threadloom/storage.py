@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
 _own: dict[str, str] = {}
-_scratch: list[list[str]] = []
+_scratch = threading.local()  # its ``open``: of this thread, the folders named in each scratch that is open
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,8 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
     where = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if _scratch:
-        _scratch[-1].append(where)
+    if getattr(_scratch, "open", None):
+        _scratch.open[-1].append(where)
     return where
 
 
@@ -44,12 +45,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """The folders that :func:`fresh_dir` names inside are deleted at the end: all that is to stay must have been written elsewhere, or read, by then."""
-    _scratch.append([])
+    _scratch.open = [*getattr(_scratch, "open", []), []]
     try:
         yield
     finally:
         conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for folder in _scratch.pop():
+        for folder in _scratch.open.pop():
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
 
