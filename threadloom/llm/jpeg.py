@@ -14,6 +14,7 @@ import numpy as np
 _ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8)))
 _k = np.arange(8)
 _DCT = np.sqrt(np.where(_k == 0, 1, 2) / 8)[:, None] * np.cos((2 * _k + 1)[None, :] * _k[:, None] * np.pi / 16)
+_BASIS = np.kron(_DCT, _DCT)[_ZIGZAG]  # the pixels of each coefficient, in file order
 
 
 def _ac(order: str) -> bytes:
@@ -178,9 +179,7 @@ def decode(data: bytes) -> list[np.ndarray]:
             for (blocks, *_), (_, x, y, q) in zip(parts, frame):
                 if q not in quant:
                     raise ValueError("no quantisation table")
-                flat = np.empty((len(blocks), 64))
-                flat[:, _ZIGZAG] = blocks * quant[q]
-                pixels = np.clip(np.rint(_DCT.T @ flat.reshape(-1, 8, 8) @ _DCT + 128), 0, 255).astype(np.uint8)
+                pixels = np.rint((blocks * quant[q]) @ _BASIS + 128).clip(0, 255).astype(np.uint8)
                 plane = pixels.reshape(down, across, y, x, 8, 8).transpose(0, 2, 4, 1, 3, 5).reshape(down * y * 8, across * x * 8)
                 planes.append(plane[: -(-h * y // vm), : -(-w * x // hm)])
             return planes
@@ -202,9 +201,9 @@ def encode(planes: list[np.ndarray], quant: int = 4, tables: bool = True) -> byt
     out += segment(0xDA, bytes([len(planes)]) + b"".join(bytes([c + 1, 0x11 if c else 0]) for c in range(len(planes))) + b"\0\x3f\0")
     coded = []
     for p in planes:
-        p = np.pad(p.astype(float), ((0, -h % 8), (0, -w % 8)), mode="edge")
-        blocks = p.reshape(p.shape[0] // 8, 8, p.shape[1] // 8, 8).transpose(0, 2, 1, 3).reshape(-1, 8, 8)
-        coded.append(np.rint((_DCT @ (blocks - 128) @ _DCT.T).reshape(-1, 64)[:, _ZIGZAG] / quant).astype(int).tolist())
+        p = np.pad(p.astype(float), ((0, -h % 8), (0, -w % 8)), mode="edge") if h % 8 or w % 8 else p
+        blocks = p.reshape(p.shape[0] // 8, 8, p.shape[1] // 8, 8).transpose(0, 2, 1, 3).reshape(-1, 64)
+        coded.append(np.rint((blocks - 128.0) @ _BASIS.T / quant).astype(int).tolist())
     bits, n, before = 0, 0, [0] * len(planes)
 
     def put(code: int, size: int) -> None:
@@ -222,7 +221,9 @@ def encode(planes: list[np.ndarray], quant: int = 4, tables: bool = True) -> byt
             put(*dc[size])
             put(number(d, size), size)
             run = 0
-            last = max((k for k in range(1, 64) if values[k]), default=0)
+            last = 63
+            while last and not values[last]:
+                last -= 1
             for v in values[1 : last + 1]:
                 if not v:
                     run += 1

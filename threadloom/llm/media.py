@@ -122,15 +122,19 @@ def shot_starts(h: np.ndarray, floor: float = 0.3, factor: float = 3.0, radius:
     if not n:
         return []
     planes = [slice(0, 32), *(slice(x, x + 16) for x in range(32, h.shape[1], 16))]
-    apart = lambda i, j: max(float(np.abs(h[i, p] - h[j, p]).sum() / 2) for p in planes)
-    d = [0.0] + [apart(i - 1, i) for i in range(1, n)]
+    d, two = [0.0], []
+    for lag, out in ((1, d), (2, two)):
+        x = np.abs(h[lag:] - h[:-lag])
+        out += np.max([x[:, p].sum(1) / 2 for p in planes], axis=0).tolist()
     starts = [0]
     for i in range(1, n):
         near = d[max(1, i - radius) : i] + d[i + 1 : i + 1 + radius]
+        if near and d[i] < noise:
+            continue
         if d[i] < (max(noise, factor * float(np.median(near))) if near else floor):
             continue
         alike = min(floor, d[i] / 2)
-        if (i + 1 < n and apart(i - 1, i + 1) < alike) or (i >= 2 and apart(i - 2, i) < alike):
+        if (i + 1 < n and two[i - 1] < alike) or (i >= 2 and two[i - 2] < alike):
             continue
         starts.append(i)
     return starts
