@@ -535,6 +535,50 @@ def test_one_of_each_stays_and_odd_rows(spark, odd, empty):
     assert ngram_join.similar_pairs(empty).count() == 0 and ngram_join.keep_one_of_each(empty).count() == 0
 
 
+def half_alike(n=600):
+    """n pairs of texts whose similarity is 0.5 exactly: 40 of 80 n-grams."""
+    rng = random.Random(12)
+    rows = []
+    for g in range(n):
+        base, other = words(rng, 62, 10**6), words(rng, 20, 10**6)
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base[:42] + other))]
+    return rows
+
+
+def test_every_pair_at_the_bound_is_found(spark):
+    df = spark.createDataFrame(half_alike(), "doc_id bigint, text string")
+    _, pairs = ngram_join.class_pairs(df)
+    assert sorted(tuple(sorted((r["id_a"], r["id_b"]))) for r in pairs.collect()) == [(2 * g, 2 * g + 1) for g in range(600)]
+
+
+def test_no_pair_of_a_group_in_blocks_is_lost(spark):
+    """Families around one text, of more documents than a block has, against all pairs."""
+    rng = random.Random(13)
+    stem, rows = words(rng, 60, 4000), []
+    for f in range(6):
+        base = stem[: 10 * f] + words(rng, 60 - 10 * f, 4000)
+        rows += [(100 * f + c, " ".join(w if rng.random() > 0.08 else f"z{rng.randrange(9999)}" for w in base)) for c in range(5 + 8 * f)]
+    grams = {i: set(zip(t.split(), t.split()[1:], t.split()[2:])) for i, t in rows}
+    brute = {(i, j): len(grams[i] & grams[j]) / len(grams[i] | grams[j]) for i in grams for j in grams if i < j}
+    brute = {x: v for x, v in brute.items() if v >= 0.5}
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for block in (4, 4096):
+        found = [(min(r["id_a"], r["id_b"]), max(r["id_a"], r["id_b"]), r["jaccard"]) for r in ngram_join.class_pairs(df, block=block)[1].collect()]
+        assert len(found) == len(brute) > 300 and {x[:2]: x[2] for x in found} == brute
+
+
+def test_counted_join_equals_trie_join():
+    rng = random.Random(14)
+    base = [sorted(rng.sample(range(900), 60)) for _ in range(4)]
+    sets = [np.array(sorted(set(rng.choice(base)) ^ set(rng.sample(range(900), rng.randrange(30)))), np.uint64) for _ in range(150)]
+    side = np.array([rng.randrange(2) for _ in sets])
+    wanted = {(min(i, j), max(i, j)): o for i, j, o in ngram_join.trie_join(sets, 0.5)}
+    for sides in (np.zeros(150, int), side):
+        found = [(min(i, j), max(i, j), o) for x in ngram_join.counted_join(sets, 0.5, sides) for i, j, o in zip(*(y.tolist() for y in x))]
+        assert len(found) == len({x[:2] for x in found})
+        assert {x[:2]: x[2] for x in found} == {x: o for x, o in wanted.items() if sides[x[0]] != sides[x[1]] or not sides.any()}
+
+
 # --- 8 -----------------------------------------------------------------------
 
 
