@@ -567,6 +567,18 @@ def test_no_pair_of_a_group_in_blocks_is_lost(spark):
         assert len(found) == len(brute) > 300 and {x[:2]: x[2] for x in found} == brute
 
 
+def test_links_do_not_grow_with_the_square_of_a_group(spark):
+    """What tasks hand on of a group is a row for each member and not for each pair, in one unit and in blocks."""
+    rng = random.Random(15)
+    base = words(rng, 80, 4000)
+    rows = [(i, " ".join([*base[: i % 80], f"z{i}", *base[i % 80 :]])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for block, most in ((4096, 300), (100, 300 * 9)):
+        links = ngram_join.class_links(df, block=block)[2].collect()
+        assert len(links) <= most and sum(r["links"] for r in links) == 300 * 299
+    assert {(r["class_id"], r["n_links"]) for r in ngram_join.similar_documents(df).collect()} == {(0, 299)}
+
+
 def test_counted_join_equals_trie_join():
     rng = random.Random(14)
     base = [sorted(rng.sample(range(900), 60)) for _ in range(4)]

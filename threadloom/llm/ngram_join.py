@@ -93,8 +93,8 @@ def _pack(part: np.ndarray, span: int, classes: np.ndarray, grams: np.ndarray, c
     return pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), pa.array(np.full(len(cut), span, np.int32)), split(classes), split(grams), split(counts)], names=["part", "span", "classes", "grams", "counts"])
 
 
-def _parts(packed: DataFrame, build) -> DataFrame:
-    """``packed`` by part; ``build`` is given the part's rows and gives batches."""
+def _parts(packed: DataFrame, number: int, build) -> DataFrame:
+    """``packed`` by part, each in a task of its own; ``build`` is given the part's rows and gives batches."""
 
     def run(batches):
         part, rows = None, []
@@ -108,7 +108,7 @@ def _parts(packed: DataFrame, build) -> DataFrame:
         if rows:
             yield from build(part, rows)
 
-    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(run, _PACKED)
+    return packed.repartitionById(number, F.col("part")).sortWithinPartitions("part").mapInArrow(run, _PACKED)
 
 
 def _column(rows: list[tuple], at: int, kind: str) -> np.ndarray:
@@ -143,7 +143,7 @@ def _holders(docs: DataFrame, n: int, ranges: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, _PACKED)
 
 
-def _shared(holders: DataFrame, parts: int) -> DataFrame:
+def _shared(holders: DataFrame, parts: int, ranges: int) -> DataFrame:
     """Those n-grams that several classes hold, with their rounded number, packed by class."""
 
     def build(span, rows):
@@ -168,7 +168,7 @@ def _shared(holders: DataFrame, parts: int) -> DataFrame:
         if len(grams):
             yield _pack((classes % np.uint64(parts)).astype(np.int32), span, classes, grams, np.minimum(8 * np.log2(count), 255).astype(np.uint8))
 
-    return _parts(holders, build)
+    return _parts(holders, ranges, build)
 
 
 def _prefixes(shared: DataFrame, classes: DataFrame, t: float, parts: int, ranges: int) -> DataFrame:
@@ -208,7 +208,7 @@ def _prefixes(shared: DataFrame, classes: DataFrame, t: float, parts: int, range
         yield _pack((gram >> np.uint64(32)).astype(np.int32), 0, known[who], gram)
         yield _pack(np.full(len(most), -1, np.int32), 0, known[who[most]], gram[most])
 
-    return _parts(shared.unionAll(classes.select("f1", "n").mapInArrow(sizes, _PACKED)), build)
+    return _parts(shared.unionAll(classes.select("f1", "n").mapInArrow(sizes, _PACKED)), parts, build)
 
 
 def _unpacked(packed: DataFrame) -> DataFrame:
@@ -222,7 +222,7 @@ def _unpacked(packed: DataFrame) -> DataFrame:
     return packed.select("classes", "grams").mapInArrow(run, "f1 bigint, gram bigint")
 
 
-def _meetings(prefixes: DataFrame) -> DataFrame:
+def _meetings(prefixes: DataFrame, ranges: int) -> DataFrame:
     """(a, b): each class with the least of those that an n-gram of its prefix is in the prefix of."""
 
     def run(batches):
@@ -247,18 +247,22 @@ def _meetings(prefixes: DataFrame) -> DataFrame:
         if rows:
             yield edges()
 
-    return prefixes.filter("part >= 0").repartition("part").sortWithinPartitions("part").mapInArrow(run, "a bigint, b bigint").distinct()
+    return prefixes.filter("part >= 0").repartitionById(ranges, F.col("part")).sortWithinPartitions("part").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _ranges(classes: DataFrame) -> int:
+    """The number of ranges of n-grams, which grows with the table, so that tasks don't."""
+    return max(16, -(-(classes.agg(F.sum("n")).first()[0] or 0) // _ENTRIES))
 
 
 def _units(docs: DataFrame, classes: DataFrame, n: int, t: float, block: int) -> DataFrame:
     """(doc_id, th, units): the units of each class that can have a partner, each as (unit, side).
     Pairs of a unit are those of different sides, or all if it has one side."""
-    entries = classes.agg(F.sum("n")).first()[0] or 0
-    ranges = max(16, -(-entries // _ENTRIES))
+    ranges = _ranges(classes)
     parts = max(8, ranges // 2)
     spark = docs.sparkSession
-    prefixes = distilled(spark, "ngram-prefixes", lambda: _prefixes(_shared(_holders(docs, n, ranges), parts), classes, t, parts, ranges))
-    group = distilled(spark, "ngram-groups", lambda: connected_components(_meetings(prefixes)))
+    prefixes = distilled(spark, "ngram-prefixes", lambda: _prefixes(_shared(_holders(docs, n, ranges), parts, ranges), classes, t, parts, ranges))
+    group = distilled(spark, "ngram-groups", lambda: connected_components(_meetings(prefixes, ranges)))
     placed = classes.join(group.withColumnRenamed("node", "f1"), "f1").select("f1", "doc_id", "th", "n", "component")
     size = placed.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("grams"))
     placed = materialise(placed.join(size, "component"), "ngram-candidates")
@@ -469,7 +473,7 @@ def _over_units(docs: DataFrame, classes: DataFrame, n: int, t: float, block: in
             if len(ids) > 1:
                 yield from result(np.array(ids), np.array(ths), np.array(size), [np.frombuffer(g, np.uint64) for g in grams], np.array(side))
 
-    return sent.select("doc_id", "th", "size", "grams", "u.side", "u.unit").repartition("unit").sortWithinPartitions("unit").mapInArrow(run, schema)
+    return sent.select("doc_id", "th", "size", "grams", "u.side", "u.unit").repartition(_ranges(classes), "unit").sortWithinPartitions("unit").mapInArrow(run, schema)
 
 
 def class_pairs(documents: DataFrame, n: int = 3, t: float = 0.5, block: int = 4096) -> tuple[DataFrame, DataFrame]:
