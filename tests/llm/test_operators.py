@@ -904,6 +904,31 @@ def test_every_holder_is_linked_to_every_other(spark, odd, empty, tile, block, m
     assert len(got) <= 44 * 8  # and not the square of the holders
 
 
+def test_holders_that_share_only_a_seed_with_its_source_are_linked(spark):
+    """24 words in a row are shared by two or three texts, and 10 of them by a hundred others."""
+    rng = random.Random(17)
+    rows, groups = [], []
+    for g in range(40):
+        p = words(rng, 24, 10**6)
+        groups.append([len(rows) + i for i in range(2 + g % 2)])
+        rows += [(i, " ".join(words(rng, 20, 10**6) + p + words(rng, 20, 10**6))) for i in groups[-1]]
+        at = 1 + g % 14
+        rows += [(len(rows) + i, " ".join(words(rng, 20, 10**6) + p[at : at + 10] + words(rng, 20, 10**6))) for i in range(100)]
+    got = substring_dedup.fuzzy_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"] for r in got} == {i for g in groups for i in g}
+    of = {i: [r for r in got if r["doc_id"] == i] for g in groups for i in g}
+    assert all(common_words(of[i] + of[j], i, j) >= 24 for g in groups for i in g for j in g)
+
+
+def test_a_passage_beside_a_wide_gap_is_kept():
+    rng = random.Random(18)
+    p, q = ([rng.randrange(10**6) for _ in range(n)] for n in (24, 8))
+    x, y = (np.array([*p, *(rng.randrange(10**6) for _ in range(20)), *q]) for _ in range(2))
+    at = np.array([0, 6, 16, 44])
+    assert substring_dedup.align(x, y, at, at, 8, 8)[4] < 0.8
+    assert substring_dedup.passages(x, y, at, at, 8, 8, 24, 0.8) == [(0, 24, 0, 24, 1.0)]
+
+
 def test_copies_and_odd_rows_of_passages(spark, odd, empty):
     p = " ".join(words(random.Random(16), 60, 5000))
     rows = [(7, p), (3, p), (3, p), (9, p), (4, "too short to be one"), (5, "too short to be one"), (8, "before it all " + p)]

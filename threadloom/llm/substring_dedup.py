@@ -7,9 +7,11 @@ repeats the one before it (a word said over and over) is no seed.
 *Join.* All places of a seed are joined with its place in one of its holders, the one whose text
 has the least hash, which is called the source. So a seed of a million holders makes a million
 matches, and any two holders of it meet in the source. Where seeds of one passage have different
-sources, the longer grams (of 3k words, at the same places) are joined in the same way: any two
-texts that agree in 3k + w - 1 words in a row (35) hold such a gram, and share at least those
-3k words with its source, so they are always in one group.
+sources, the longer grams (of 3k words, at the same places) are joined in the same way. A source
+may share no more than the seed with a holder. So where the 2k words before a place and the 3k from
+it on are not those of the source, all grams of 3k words that hold the place are joined too, by
+sources of their own: any two texts that agree in 3k words in a row (24) share at least 3k words
+with one source, so they are always in one group.
 
 *Chaining.* The matches of a text with a source are chained in one pass in the order of the
 text. With overlaps free and a gap cost of ``beta`` for each word of distance on either side,
@@ -20,7 +22,8 @@ once, and are cut at gaps of over ``max_gap`` words, and every ``max_span`` word
 *Alignment.* Runs of matches on one diagonal are compared word by word, what lies between two
 runs by edit distance, and both ends are extended word by word until the score has dropped by
 ``drop`` (+1 for an equal, -2 for a different word). Passages of at least ``min_words`` words
-and ``identity`` equal words are kept.
+and ``identity`` equal words are kept. A chain that is none is tried again up to the first
+different words, then cut at its widest gap, and its parts are tried.
 
 *Result.* A row for each document and passage: words start_word to end_word of doc_id repeat
 words source_start to source_end of source_id. Documents whose places in one source overlap
@@ -191,6 +194,24 @@ def align(x: np.ndarray, y: np.ndarray, ax: np.ndarray, ay: np.ndarray, k: int,
     return s - ahead, x1 + after, e - ahead, y1 + after, (equal + same_after + same_ahead) / (columns + after + ahead)
 
 
+def passages(x: np.ndarray, y: np.ndarray, ax: np.ndarray, ay: np.ndarray, k: int, drop: int, min_words: int, identity: float) -> list[tuple[int, int, int, int, float]]:
+    """The alignment of a chain if it is a passage; else those of its parts that are."""
+    todo, out = [(0, len(ax))], []
+    while todo:
+        lo, hi = todo.pop()
+        for d in (drop, 2):
+            found = align(x, y, ax[lo:hi], ay[lo:hi], k, d)
+            if min(found[1] - found[0], found[3] - found[2]) >= min_words and found[4] >= identity:
+                out.append(found)
+                break
+        else:
+            gap = np.maximum(np.diff(ax[lo:hi]), np.diff(ay[lo:hi])) + k * (np.diff(ax[lo:hi] - ay[lo:hi]) != 0)
+            if len(gap):
+                cut = lo + 1 + int(np.argmax(gap))
+                todo += [(cut, hi), (lo, cut)]
+    return out
+
+
 def _runs(batches, names: list[str], n_keys: int) -> Iterator[tuple[tuple, list[np.ndarray]]]:
     """(key, columns) of each run of equal keys, of sorted batches of int columns."""
     key, held = None, []
@@ -214,9 +235,38 @@ def _runs(batches, names: list[str], n_keys: int) -> Iterator[tuple[tuple, list[
         yield key, [np.concatenate(x) for x in zip(*held)]
 
 
+def _long_grams(h: np.ndarray, off: np.ndarray, at: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of 3k words that begin at ``at``, and whether the texts ``doc`` reach so far."""
+    a1, a2 = np.minimum(at + k, len(h) - 1), np.minimum(at + 2 * k, len(h) - 1)
+    return mix(mix(h[at] * _ODD + h[a1]) * _ODD + h[a2]), at + 2 * k < off[doc + 1]
+
+
+def _grams_around(docs: DataFrame, places: DataFrame, k: int) -> DataFrame:
+    """(u, p, long): every gram of 3k words that holds one of the places (u, p), each once."""
+    wanted = places.groupBy("u").agg(F.collect_set("p").alias("at"))  # no longer than the text is
+    texts = docs.groupBy(F.col("th").alias("u")).agg(F.first("text").alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            u, places = batch.column("u").to_numpy(zero_copy_only=False), batch.column("at").to_pylist()
+            for lo, hi, t in token_chunks(batch.column("text")):
+                h, off = gram_hashes(t, k)
+                near = np.zeros(len(h) + 1, np.int64)
+                for i in range(hi - lo):
+                    at = np.array(places[lo + i])
+                    np.add.at(near, off[i] + np.maximum(at - 2 * k, 0), 1)
+                    np.add.at(near, off[i] + at + 1, -1)
+                at = np.flatnonzero(np.cumsum(near)[:-1] > 0)
+                doc = np.searchsorted(off, at, "right") - 1
+                long, whole = _long_grams(h, off, at, doc, k)
+                yield pa.RecordBatch.from_arrays([pa.array(u[lo + doc[whole]]), pa.array((at - off[doc])[whole].astype(np.int32)), pa.array(signed(long[whole]))], names=["u", "p", "long"])
+
+    return texts.join(wanted, "u").mapInArrow(run, "u bigint, p int, long bigint")
+
+
 def _seeds(docs: DataFrame, k: int, w: int) -> DataFrame:
-    """(seed, u, p, first, long): the places of seeds in text u, whether it is the seed's first
-    there, and the gram of 3k words that begins there. Of equal texts in a task one is read."""
+    """(seed, u, p, long, around): the places of seeds in text u, the gram of 3k words that begins
+    there, and the words from 2k before it to the end of that gram. Of equal texts in a task one is read."""
 
     def run(batches):
         seen: set[int] = set()
@@ -234,24 +284,24 @@ def _seeds(docs: DataFrame, k: int, w: int) -> DataFrame:
                 doc = np.searchsorted(off, at, "right") - 1
                 enough = (np.diff(t.off) >= k)[doc]
                 at, doc = at[enough], doc[enough]
-                by = np.lexsort((h[at], doc))
-                first = np.ones(len(at), bool)
-                first[by[1:]] = (h[at][by[1:]] != h[at][by[:-1]]) | (doc[by[1:]] != doc[by[:-1]])
-                whole = at + 2 * k < off[doc + 1]
-                a1, a2 = np.minimum(at + k, len(h) - 1), np.minimum(at + 2 * k, len(h) - 1)
-                long = mix(mix(h[at] * _ODD + h[a1]) * _ODD + h[a2])
-                yield pa.RecordBatch.from_arrays([pa.array(signed(h[at])), pa.array(u[lo + doc]), pa.array((at - off[doc]).astype(np.int32)), pa.array(first), pa.array(signed(long), mask=~whole)], names=["seed", "u", "p", "first", "long"])
+                long, whole = _long_grams(h, off, at, doc, k)
+                before, inside = _long_grams(h, off, np.maximum(at - 2 * k, 0), doc, k)
+                inside &= whole & (at - 2 * k >= off[doc])
+                around = mix(before * _ODD + long)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(h[at])), pa.array(u[lo + doc]), pa.array((at - off[doc]).astype(np.int32)), pa.array(signed(long), mask=~whole), pa.array(signed(around), mask=~inside)], names=["seed", "u", "p", "long", "around"])
 
-    return docs.select("th", "text").mapInArrow(run, "seed bigint, u bigint, p int, first boolean, long bigint")
+    return docs.select("th", "text").mapInArrow(run, "seed bigint, u bigint, p int, long bigint, around bigint")
 
 
-def _matches(found: DataFrame, k: int) -> DataFrame:
+def _matches(docs: DataFrame, found: DataFrame, k: int) -> DataFrame:
     """(b, a, pb, pa): each place of a seed or longer gram, with that in its source. The tables of
     sources are written, so that AQE sees plain shuffles on both sides and can split a hot gram."""
-    held = found.filter("first").groupBy("seed").agg(F.min("u").alias("a"), F.max("u").alias("z"), F.min_by("p", "u").alias("pa"))
-    held = materialise(held.filter("a < z").drop("z"), "seed-sources")
-    placed = materialise(found.join(held, "seed").select("u", "p", "long", "a", "pa"), "seed-places")
+    held = found.groupBy("seed").agg(F.min(F.struct("u", "p", "around")).alias("s"), F.max("u").alias("z"), F.count("*").alias("places"))
+    held = materialise(held.filter("s.u < z").selectExpr("seed", "s.u AS a", "s.p AS pa", "s.around AS there", "places"), "seed-sources")
+    alone = F.expr("places > 2 AND NOT (u = a AND p = pa) AND (around IS NULL OR there IS NULL OR around <> there)")
+    placed = materialise(found.join(held, "seed").select("u", "p", "long", "a", "pa", alone.alias("alone")), "seed-places")
     longs = placed.filter("long IS NOT NULL").select("u", "p", "long")
+    longs = materialise(longs.unionAll(_grams_around(docs, placed.filter("alone").select("u", "p"), k)), "long-grams")
     sources = longs.groupBy("long").agg(F.min(F.struct("u", "p")).alias("s"), F.max("u").alias("z")).filter("s.u < z")
     sources = materialise(sources.selectExpr("long", "s.u AS a", "s.p AS pa"), "gram-sources")
     far = longs.join(sources, "long").withColumn("d", F.explode(F.array(F.lit(0), F.lit(2 * k))))
@@ -326,8 +376,8 @@ def _aligned(parts: DataFrame, k: int, drop: int, min_words: int, identity: floa
                     raise ValueError(f"no words of source {row[:3]}")
                 at_a, at_b = np.frombuffer(row[7], "<i4").reshape(2, -1)
                 sa, sb = source[1], row[5]
-                a0, a1, b0, b1, share = align(source[2], np.frombuffer(row[6], "<u4"), at_a - sa, at_b - sb, k, drop)
-                if min(a1 - a0, b1 - b0) >= min_words and share >= identity:
+                words = np.frombuffer(row[6], "<u4")
+                for a0, a1, b0, b1, share in passages(source[2], words, at_a - sa, at_b - sb, k, drop, min_words, identity):
                     out.append((row[4], b0 + sb, b1 + sb, row[0], a0 + sa, a1 + sa, round(share, 6)))
             yield _batch(out, _ALIGNED)
 
@@ -385,7 +435,7 @@ def fuzzy_passages(
     spark = documents.sparkSession
 
     def chained():
-        return _chains(_matches(materialise(_seeds(docs, k, w), "seeds"), k), k, beta, max_gap, max_span)
+        return _chains(_matches(docs, materialise(_seeds(docs, k, w), "seeds"), k), k, beta, max_gap, max_span)
 
     def found():
         return _aligned(_words(docs, distilled(spark, "chains", chained), k + w, tile, block), k, drop, min_words, identity)
