@@ -49,6 +49,18 @@ def test_a_line_between_other_lines_goes(spark):
     assert left == {1: rows[0][1], 2: "b first\nb last", 4: "c first\nc last"}
 
 
+def test_no_near_copy_at_the_bound_stays(spark):
+    """600 pairs of texts whose similarity is 0.5 exactly (40 of 80 n-grams): the first of each stays."""
+    rng = random.Random(12)
+    word = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for g in range(600):
+        base, other = word(62), word(20)
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base[:42] + other))]
+    left = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "")
+    assert sorted(r["doc_id"] for r in left.collect()) == list(range(0, 1200, 2))
+
+
 def test_one_of_rows_loaded_twice_stays(spark):
     rows = [(i, f"document {i} " + " ".join(f"w{i}x{j}" for j in range(40))) for i in range(5)] + [(None, "a text without an id")]
     df = spark.createDataFrame(rows + rows + [(9, None), (9, None)], "doc_id bigint, text string")
