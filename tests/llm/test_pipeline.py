@@ -6,6 +6,9 @@ from pathlib import Path
 import corpus_pipeline
 from conftest import DATA
 
+from threadloom.llm import ngram_join
+from threadloom.llm.text import gram_hashes, tokens
+
 
 def test_stages_keep_columns_and_results(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
@@ -61,6 +64,23 @@ def test_no_near_copy_at_the_bound_stays(spark):
     assert sorted(r["doc_id"] for r in left.collect()) == list(range(0, 1200, 2))
 
 
+def test_no_near_copy_stays_for_ngrams_that_are_merged(spark):
+    """Texts that are half of another, at similarity 0.5 exactly (40 of 80 n-grams), where two of the
+    shared n-grams agree in their range and 32 bits: the first of each stays."""
+    rng = random.Random(16)
+    word = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    three = lambda i: [f"w{i}", f"w{i + 1}", f"w{i + 2}"]
+    rows = []
+    for g, (a, b) in enumerate([(8501, 1089381), (73644, 1353372), (93915, 104542), (76880, 636845)]):
+        x, y = (int(gram_hashes(tokens([" ".join(three(i))]), 3)[0][0]) for i in (a, b))
+        assert x != y and x >> 60 == y >> 60 and x % 2**32 == y % 2**32
+        shared = three(a) + word(36) + three(b)
+        rows += [(2 * g, " ".join(shared + word(40))), (2 * g + 1, " ".join(shared))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted((r["id_a"], r["id_b"], r["jaccard"]) for r in ngram_join.class_pairs(df)[1].collect()) == [(2 * g, 2 * g + 1, 0.5) for g in range(4)]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()) == [0, 2, 4, 6]
+
+
 def test_one_of_rows_loaded_twice_stays(spark):
     rows = [(i, f"document {i} " + " ".join(f"w{i}x{j}" for j in range(40))) for i in range(5)] + [(None, "a text without an id")]
     df = spark.createDataFrame(rows + rows + [(9, None), (9, None)], "doc_id bigint, text string")

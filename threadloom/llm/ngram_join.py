@@ -9,7 +9,8 @@ n-grams have another holder has no partner and goes no further. The others are c
 their prefixes share an n-gram; similar classes are always in one such component. Counts and
 prefixes pass between tasks as packed arrays, by ranges of the n-gram's hash and by class. The
 order needs no exact counts: they are rounded, and n-grams are told apart by their range and 32
-bits, which may merge two of them and can only add candidates.
+bits. Two that this merges are one for every class, which adds candidates; a class that holds both
+counts one less, so as many as it may have lost are taken from what it must share.
 
 *Units.* A component is joined in one task. One of more than ``block`` classes or ``_GRAMS``
 n-grams is cut into blocks, by a frequent n-gram of the prefix first, and every two blocks whose
@@ -55,11 +56,13 @@ _SMALL = 64  # members of a unit that is joined by its trie
 _FREQUENT = 32  # holders of an n-gram that is counted by matrix product
 _WIDTH = 1024  # n-grams in a matrix
 _STRIP = 256  # rows of pairs told at once
+_EXACT = 1 << 24  # to here single precision counts
 _PACKED = "part int, span int, classes binary, grams binary, counts binary"
 
 
 def _sketches(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, th, n, f1, f2): the size of each set, and two sums over it that tell it from others."""
+    """(doc_id, th, n, merged, f1, f2): the size of each set, how many of it 32 bits may merge, and two
+    sums over it that tell it from others."""
 
     def run(batches):
         for batch in batches:
@@ -68,9 +71,9 @@ def _sketches(docs: DataFrame, n: int) -> DataFrame:
                 f1 = np.add.reduceat(mix(flat), off[:-1])
                 f2 = np.bitwise_xor.reduceat(mix(flat * np.uint64(0xD6E8FEB86659FD93)), off[:-1])
                 at = pa.array(full + lo)
-                yield pa.RecordBatch.from_arrays([ids.take(at), th.take(at), pa.array(np.diff(off).astype(np.int32)), pa.array(signed(f1)), pa.array(signed(f2))], names=["doc_id", "th", "n", "f1", "f2"])
+                yield pa.RecordBatch.from_arrays([ids.take(at), th.take(at), pa.array(np.diff(off).astype(np.int32)), pa.array(_merged(off, flat)), pa.array(signed(f1)), pa.array(signed(f2))], names=["doc_id", "th", "n", "merged", "f1", "f2"])
 
-    return docs.mapInArrow(run, "doc_id bigint, th bigint, n int, f1 bigint, f2 bigint").dropDuplicates(["doc_id", "th"])
+    return docs.mapInArrow(run, "doc_id bigint, th bigint, n int, merged int, f1 bigint, f2 bigint").dropDuplicates(["doc_id", "th"])
 
 
 def _sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -83,6 +86,13 @@ def _sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray
             yield lo, full, np.concatenate([[0], np.cumsum([len(x) for x in sets])]), np.concatenate(sets)
 
 
+def _merged(off: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """By how much the n-grams of each set outnumber their low 32 bits, and so, at most, what they are told apart by."""
+    own = np.repeat(np.arange(len(off) - 1, dtype=np.uint64), np.diff(off)) << np.uint64(32)
+    key = np.sort(own | flat & np.uint64(0xFFFFFFFF))
+    return np.bincount((key[1:][key[1:] == key[:-1]] >> np.uint64(32)).astype(np.int64), minlength=len(off) - 1).astype(np.int32)
+
+
 def _pack(part: np.ndarray, span: int, classes: np.ndarray, grams: np.ndarray, counts: np.ndarray | None = None) -> pa.RecordBatch:
     """A row for each part, of the entries that go there."""
     by = np.argsort(part, kind="stable")
@@ -175,22 +185,23 @@ def _prefixes(shared: DataFrame, classes: DataFrame, t: float, parts: int, range
     """The n-grams in the prefix of each class that can have a partner, packed by range, and for each
     such class, in part -1, the one that it is put in a block by: the first of the most frequent."""
 
-    def sizes(batches):
+    def needs(batches):
         for batch in batches:
-            key, n = (batch.column(c).to_numpy() for c in ("f1", "n"))
+            key, n, merged = (batch.column(c).to_numpy() for c in ("f1", "n", "merged"))
             key = key.view(np.uint64)
-            yield _pack((key % np.uint64(parts)).astype(np.int32), -1, key, n.astype("<u4"))
+            need = np.maximum(np.ceil(t * n - 1e-9), 1) - merged
+            yield _pack((key % np.uint64(parts)).astype(np.int32), -1, key, need.astype("<i4"))
 
     def build(part, rows):
         own, held = [r for r in rows if r[1] < 0], [r for r in rows if r[1] >= 0]
         if not held:
             return
         known, at = np.unique(_column(own, 2, "<u8"), return_index=True)
-        size = _column(own, 3, "<u4")[at].astype(np.int64)
+        need = _column(own, 3, "<i4")[at].astype(np.int64)
         who = np.searchsorted(known, _column(held, 2, "<u8"))
         rank = _column(held, 4, "u1")
         gram = _column(held, 3, "<u4").astype(np.uint64) | np.repeat(np.array([r[1] for r in held], np.uint64) << np.uint64(32), [len(r[4]) for r in held])
-        over = np.bincount(who, minlength=len(known)) - np.maximum(np.ceil(t * size - 1e-9), 1).astype(np.int64)
+        over = np.bincount(who, minlength=len(known)) - need
         able = over[who] >= 0
         who, rank, gram = who[able], rank[able], gram[able]
         if not len(who):
@@ -208,7 +219,7 @@ def _prefixes(shared: DataFrame, classes: DataFrame, t: float, parts: int, range
         yield _pack((gram >> np.uint64(32)).astype(np.int32), 0, known[who], gram)
         yield _pack(np.full(len(most), -1, np.int32), 0, known[who[most]], gram[most])
 
-    return _parts(shared.unionAll(classes.select("f1", "n").mapInArrow(sizes, _PACKED)), parts, build)
+    return _parts(shared.unionAll(classes.select("f1", "n", "merged").mapInArrow(needs, _PACKED)), parts, build)
 
 
 def _unpacked(packed: DataFrame) -> DataFrame:
@@ -376,7 +387,7 @@ def counted_join(sets: list[np.ndarray], t: float, side: np.ndarray) -> Iterator
     _, token = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(len(sets)), sizes)
     df = np.bincount(token)
-    total = np.zeros((len(left), len(right)), np.float32)
+    total = np.zeros((len(left), len(right)), np.float32 if sizes.max() <= _EXACT else np.float64)
 
     number = np.full(len(df), -1)
     frequent = np.flatnonzero(df >= _FREQUENT)
@@ -406,7 +417,7 @@ def counted_join(sets: list[np.ndarray], t: float, side: np.ndarray) -> Iterator
     for lo in range(0, len(rt), step):
         many = (end - begin)[lo : lo + step]
         at = np.repeat(begin[lo : lo + step] - np.cumsum(many) + many, many) + np.arange(many.sum())
-        np.add.at(total.reshape(-1), la[at] * len(right) + np.repeat(rb[lo : lo + step], many), np.float32(1))
+        np.add.at(total.reshape(-1), la[at] * len(right) + np.repeat(rb[lo : lo + step], many), total.dtype.type(1))
 
     share = t / (1 + t)
     for lo in range(0, len(left), _STRIP):
@@ -444,11 +455,11 @@ def _hook(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def _classes(documents: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(docs, members, classes): ``members`` has (rep_id, rep_th, doc_id, th) of every document that
-    has a word, ``classes`` has (f1, f2, n, doc_id, th, size)."""
+    has a word, ``classes`` has (f1, f2, n, merged, doc_id, th, size)."""
     docs = narrow(documents).dropna().withColumn("th", F.xxhash64("text"))
     sketch = materialise(_sketches(docs, n), "ngram-sketch")
-    classes = sketch.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "th")).alias("r"), F.count("*").alias("size"))
-    classes = materialise(classes.select("f1", "f2", "n", "r.*", "size"), "ngram-classes")
+    classes = sketch.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "th")).alias("r"), F.max("merged").alias("merged"), F.count("*").alias("size"))
+    classes = materialise(classes.select("f1", "f2", "n", "merged", "r.*", "size"), "ngram-classes")
     members = sketch.join(classes.select("f1", "f2", "n", F.col("doc_id").alias("rep_id"), F.col("th").alias("rep_th")), ["f1", "f2", "n"]).select("rep_id", "rep_th", "doc_id", "th")
     return docs, members, classes
 
