@@ -11,6 +11,7 @@ FEW = 5
 NAMES = [
     "thread_components_each_list",
     "thread_components_by_list",
+    "classification_summary",
 ]
 
 
