@@ -12,6 +12,7 @@ NAMES = [
     "thread_components_each_list",
     "thread_components_by_list",
     "classification_summary",
+    "thread_labels",
 ]
 
 
