@@ -13,6 +13,7 @@ NAMES = [
     "thread_components_by_list",
     "classification_summary",
     "thread_labels",
+    "sender_domain_threads",
 ]
 
 
