@@ -14,6 +14,7 @@ NAMES = [
     "classification_summary",
     "thread_labels",
     "sender_domain_threads",
+    "lookup_counts",
 ]
 
 
