@@ -15,6 +15,7 @@ NAMES = [
     "thread_labels",
     "sender_domain_threads",
     "lookup_counts",
+    "accepted_status",
 ]
 
 
