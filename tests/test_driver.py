@@ -16,6 +16,7 @@ NAMES = [
     "sender_domain_threads",
     "lookup_counts",
     "accepted_status",
+    "version_links",
 ]
 
 
