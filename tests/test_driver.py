@@ -17,6 +17,7 @@ NAMES = [
     "lookup_counts",
     "accepted_status",
     "version_links",
+    "filter_stats",
 ]
 
 
