@@ -18,6 +18,7 @@ NAMES = [
     "accepted_status",
     "version_links",
     "filter_stats",
+    "manual_sample",
 ]
 
 
