@@ -19,6 +19,7 @@ NAMES = [
     "version_links",
     "filter_stats",
     "manual_sample",
+    "matching_threads_of_many_files",
 ]
 
 
