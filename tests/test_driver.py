@@ -20,6 +20,7 @@ NAMES = [
     "filter_stats",
     "manual_sample",
     "matching_threads_of_many_files",
+    "matching_threads_rows",
 ]
 
 
