@@ -21,6 +21,7 @@ NAMES = [
     "manual_sample",
     "matching_threads_of_many_files",
     "matching_threads_rows",
+    "first_email_per_thread",
 ]
 
 
