@@ -22,6 +22,7 @@ NAMES = [
     "matching_threads_of_many_files",
     "matching_threads_rows",
     "first_email_per_thread",
+    "inspect_first_n_threads",
 ]
 
 
