@@ -23,6 +23,7 @@ NAMES = [
     "matching_threads_rows",
     "first_email_per_thread",
     "inspect_first_n_threads",
+    "last_patch",
 ]
 
 
