@@ -24,6 +24,7 @@ NAMES = [
     "first_email_per_thread",
     "inspect_first_n_threads",
     "last_patch",
+    "status_histogram",
 ]
 
 
