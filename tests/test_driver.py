@@ -25,6 +25,7 @@ NAMES = [
     "inspect_first_n_threads",
     "last_patch",
     "status_histogram",
+    "thread_components_phantom",
 ]
 
 
