@@ -26,6 +26,7 @@ NAMES = [
     "last_patch",
     "status_histogram",
     "thread_components_phantom",
+    "thread_prompt",
 ]
 
 
