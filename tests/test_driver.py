@@ -27,6 +27,7 @@ NAMES = [
     "status_histogram",
     "thread_components_phantom",
     "thread_prompt",
+    "thread_components",
 ]
 
 
